@@ -1,0 +1,8 @@
+"""Operators for preparing training text.  Nothing else in the package imports this folder."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors carry their code along: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
