@@ -333,7 +333,7 @@ def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     both = with_next(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -357,7 +357,7 @@ def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
                 columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-        for b in _sized_batches(batches, "text", 4_000_000):
+        for b in _sized_batches(batches, "text", 1_200_000):
             rows = list(zip(b["doc_id"], b["text"], b["part"], b["ahead"], strict=True))
             rows = ([last] if last else []) + rows
             if len(rows) > 1:
