@@ -2,12 +2,14 @@
 
 from .fingerprints import op1_fingerprint
 from .language import op9_language
+from .neardup import op4_neardup
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": op1_fingerprint,
+        "op4_neardup": op4_neardup,
         "op9_language": op9_language,
         "op10_toxicity": op10_toxicity,
     }
