@@ -2,18 +2,23 @@
 
 from .fingerprints import op1_fingerprint
 from .language import op9_language
+from .mixing import op6_mixing
 from .neardup import op4_neardup
+from .secrets import ORACLE as SECRETS_SQL
+from .secrets import op3_secrets
 from .toxicity import op10_toxicity
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": op1_fingerprint,
+        "op3_secrets": op3_secrets,
         "op4_neardup": op4_neardup,
+        "op6_mixing": op6_mixing,
         "op9_language": op9_language,
         "op10_toxicity": op10_toxicity,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": SECRETS_SQL}

@@ -1,0 +1,188 @@
+"""Secret scans with corpus-wide ownership frequency, in DataFrame operations only.
+
+Patterns give candidate spans in each whole text.  Candidates are hashed, and the corpus says in how many
+texts, repositories and owners a value occurs: a value that many owners hold is a widely copied example,
+one that few hold and that looks random is a live credential of its owner.  The source is the repository;
+what stands before its first slash is the owner (all of it if there is none).
+
+Counting goes (value, owner, repository) -> (value, owner) -> value, so a value that a third of all rows
+share is summed before it moves.  Texts never move: only candidates do.
+
+Defined results: null is the empty text, without spans; a null source is one unnamed repository; repeated
+rows are all reported, and count each; an empty table gives an empty result; only the id, text and source
+columns are read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged, table
+
+# The kinds, their patterns, the group that holds the secret, and its (or the match's) least length.
+KINDS = [
+    ("assign", r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", 0, 20),
+    ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20),
+]
+BASE_KINDS = ("assign", "access", "hex")
+#: What is cheap to look for before a pattern is run in earnest.
+_MAYBE = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}", "github": r"gh[pousr]_", "jwt": r"eyJ", "pem": "-----BEGIN"}
+# Words that mark a placeholder.
+PLACEHOLDERS = r"(?i)example|changeme|placeholder|your[_-]|xxxx|dummy|sample|redacted"
+#: A value held by so many owners is a widely copied example.
+MANY_OWNERS = 3
+#: A live-looking value has so many different characters at least.
+VARIED = 6
+MASK = "[secret]"
+
+
+def _spans_of(text: Column, number: int, kind: str, pattern: str, group: int, least: int) -> Column:
+    """array<struct<start, kind_no, kind, end, value>> of the leftmost non-overlapping matches, in code points.
+
+    Matches lie between the pieces that the same pattern splits the text into; adding up lengths places them.
+    A match that is too short is dropped after it has used up its characters."""
+    pieces = F.split(text, pattern, -1)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    steps = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("p"), whole.alias("m"), value.alias("v"))
+    shape = "struct<start:int,kind_no:int,kind:string,end:int,value:string>"
+
+    def add(acc: Column, s: Column) -> Column:
+        start = acc["pos"] + F.length(s["p"])
+        end = start + F.length(s["m"])
+        one = F.struct(start.alias("start"), F.lit(number).alias("kind_no"), F.lit(kind).alias("kind"), end.alias("end"), s["v"].alias("value"))
+        return F.struct(end.alias("pos"), F.when(F.length(s["v"]) >= least, F.array_append(acc["got"], one)).otherwise(acc["got"]).alias("got"))
+
+    none = F.array().cast(f"array<{shape}>")
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("pos"), none.alias("got")), add, lambda a: a["got"])
+    return F.when(text.rlike(_MAYBE[kind]), found).otherwise(none)
+
+
+def span_column(text: Column) -> Column:
+    """All spans of a text, by start and then kind as listed."""
+    return F.array_sort(F.concat(*[_spans_of(text, n, *k) for n, k in enumerate(KINDS)]))
+
+
+def _hashed(found: Column) -> Column:
+    """Spans with the length and hash of their value, and whether it looks random."""
+
+    def shaped(s: Column) -> Column:
+        v = s["value"]
+        varied = F.size(F.array_distinct(F.split(v, ""))) >= VARIED
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.length(v).alias("size"), F.sha2(v, 256).alias("hash"), (varied & ~v.rlike(PLACEHOLDERS)).alias("random"))
+
+    return F.transform(found, shaped)
+
+
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, source, cand (the spans, with hashed values and whether they look random) of every row."""
+    rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    spans = rows.select("doc_id", "source", span_column(F.col("text")).alias("found"))
+    return spans.select("doc_id", "source", _hashed(F.col("found")).alias("cand"))
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """hash, n_docs, n_repos, n_owners of every candidate value of the corpus."""
+    repo = F.coalesce(F.col("source"), F.lit(""))
+    each = found.filter(F.size("cand") > 0).select(
+        repo.alias("repo"), F.substring_index(repo, "/", 1).alias("owner"), F.explode(F.array_distinct(F.transform("cand", lambda s: s["hash"]))).alias("hash")
+    )
+    by_repo = each.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("d"))
+    by_owner = by_repo.groupBy("hash", "owner").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("r"))
+    return by_owner.groupBy("hash").agg(F.sum("d").alias("n_docs"), F.sum("r").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """doc_id, cand, verdicts (array of struct<start, kind, end, size, verdict>) of every distinct row that has spans."""
+    rows = found.filter(F.size("cand") > 0).select("doc_id", "cand").withColumn("ck", F.xxhash64("cand")).dropDuplicates(["doc_id", "ck"])
+    owners = ownership(found).select("hash", "n_owners")
+    each = rows.select("doc_id", "ck", F.explode("cand").alias("s")).select("doc_id", "ck", "s.*")
+    verdict = F.when(F.col("n_owners") >= MANY_OWNERS, "example").when(F.col("random"), "live").otherwise("placeholder")
+    told = each.join(owners, "hash").withColumn("verdict", verdict)
+    return told.groupBy("doc_id", "ck").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "size", "verdict"))).alias("verdicts"))
+
+
+def op3_secrets(spark, sf_dir: str) -> DataFrame:
+    """Contract query: spans of every document, and how many of its values are live or copied."""
+    found = staged(scanned(table(spark, sf_dir, "documents")), "scanned")
+    text_of = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda k: F.size(F.filter("cand", lambda s: s["kind"] == k)).cast("long")
+    told = lambda v: F.size(F.filter("verdicts", lambda s: s["verdict"] == v)).cast("long")
+    base = F.filter("cand", lambda s: s["kind"].isin(*BASE_KINDS))
+    rows = found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in BASE_KINDS],
+        F.sha2(F.array_join(F.transform(base, text_of), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("cand", text_of), ",").alias("spans"),
+        F.when(F.size("cand") > 0, F.xxhash64("cand")).alias("ck"),
+    )
+    said = judged(found).select(
+        F.col("doc_id").alias("j_id"),
+        F.col("ck").alias("j_ck"),
+        *[told(v).alias(f"n_{v}") for v in ("live", "example")],
+    )
+    out = rows.join(said, (rows.ck == said.j_ck) & rows.doc_id.eqNullSafe(said.j_id), "left")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *[F.coalesce(f"n_{v}", F.lit(0)).alias(f"n_{v}") for v in ("live", "example")])
+
+
+def masked(docs: DataFrame) -> DataFrame:
+    """Pipeline decision: live values are masked, copied examples and all else stay; n_chars follows the text."""
+    found = staged(scanned(docs), "scanned")
+    live = judged(found).select(
+        F.col("doc_id").alias("j_id"), F.col("ck").alias("j_ck"), F.filter("verdicts", lambda s: s["verdict"] == "live").alias("live")
+    ).filter(F.size("live") > 0)
+    held = docs.columns
+    # texts without any candidate pass as they are; only the others are joined
+    maybe = docs.withColumn("_found", span_column(F.coalesce("text", F.lit(""))))
+    plain = maybe.filter(F.size("_found") == 0).select(held)
+    keyed = maybe.filter(F.size("_found") > 0).withColumn("_ck", F.xxhash64(_hashed(F.col("_found")))).drop("_found")
+    hit = keyed.join(live, (F.col("_ck") == F.col("j_ck")) & F.col("doc_id").eqNullSafe(F.col("j_id")), "left")
+
+    def cut(acc: Column, s: Column) -> Column:
+        lo, hi = F.greatest(s["end"] - s["size"], acc["pos"]), s["end"]
+        grown = F.concat(acc["out"], F.substring(F.col("text"), acc["pos"] + 1, lo - acc["pos"]), F.lit(MASK))
+        return F.struct(F.greatest(hi, acc["pos"]).alias("pos"), F.when(hi > lo, grown).otherwise(acc["out"]).alias("out"))
+
+    rest = F.aggregate("live", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), cut, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["pos"] + 1, F.length("text"))))
+    new = F.when(F.col("live").isNull(), F.col("text")).otherwise(rest)
+    done = hit.withColumn("_new", new)
+    cols = [F.when(F.col("live").isNull(), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col("_new").alias("text") if c == "text" else F.col(c) for c in held]
+    return plain.unionByName(done.select(cols))
+
+
+def _oracle() -> str:
+    """The query in DuckDB SQL: the same patterns, pieces and sums."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    parts = []
+    for n, (kind, pattern, group, least) in enumerate(KINDS):
+        p = q(pattern.replace('\\"', '"'))
+        parts.append(
+            f"""SELECT rid, {n} AS kind_no, '{kind}' AS kind, start, start + length(m) AS stop, v FROM (
+  SELECT rid, m, v, sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m) AS start FROM (
+    SELECT rid, unnest(ms) AS m, unnest(vs) AS v, unnest(list_slice(ps, 1, len(ms))) AS p, unnest(generate_series(1, len(ms))) AS i FROM (
+      SELECT rid, string_split_regex(text, {p}) AS ps, regexp_extract_all(text, {p}, 0) AS ms, regexp_extract_all(text, {p}, {group}) AS vs FROM docs) WHERE len(ms) > 0))
+  WHERE length(v) >= {least}"""
+        )
+    return (
+        """WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS repo FROM documents),
+spans AS ("""
+        + "\nUNION ALL ".join(parts)
+        + f"""),
+owners AS (SELECT v, count(DISTINCT split_part(repo, '/', 1)) AS n_owners FROM spans JOIN docs USING (rid) GROUP BY v),
+told AS (SELECT s.*, CASE WHEN n_owners >= {MANY_OWNERS} THEN 'example'
+  WHEN len(list_distinct(string_split(s.v, ''))) >= {VARIED} AND NOT regexp_matches(s.v, {q(PLACEHOLDERS)}) THEN 'live' ELSE 'placeholder' END AS verdict FROM spans s JOIN owners USING (v))
+SELECT d.doc_id,
+  count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind_no < {len(BASE_KINDS)}), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no), '') AS spans,
+  count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example
+FROM docs d LEFT JOIN told USING (rid) GROUP BY d.rid, d.doc_id"""
+    )
+
+
+ORACLE = _oracle()
