@@ -1,5 +1,6 @@
 """The text operators' driver queries (spark, sf_dir) -> DataFrame, and their SQL where SQL can express them."""
 
+from .chat import op2_chat
 from .fingerprints import op1_fingerprint
 from .language import op9_language
 from .mixing import op6_mixing
@@ -12,6 +13,7 @@ from .toxicity import op10_toxicity
 def queries() -> dict:
     return {
         "op1_fingerprint": op1_fingerprint,
+        "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
         "op4_neardup": op4_neardup,
         "op6_mixing": op6_mixing,
