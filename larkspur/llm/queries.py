@@ -5,8 +5,8 @@ from .fingerprints import op1_fingerprint
 from .language import op9_language
 from .mixing import op6_mixing
 from .neardup import op4_neardup
-from .secrets import ORACLE as SECRETS_SQL
-from .secrets import op3_secrets
+from .credentials import ORACLE as SECRETS_SQL
+from .credentials import op3_secrets
 from .toxicity import op10_toxicity
 
 
