@@ -2,6 +2,7 @@
 
 from .chat import op2_chat
 from .fingerprints import op1_fingerprint
+from .html_text import op8_html
 from .language import op9_language
 from .mixing import op6_mixing
 from .neardup import op4_neardup
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op3_secrets": op3_secrets,
         "op4_neardup": op4_neardup,
         "op6_mixing": op6_mixing,
+        "op8_html": op8_html,
         "op9_language": op9_language,
         "op10_toxicity": op10_toxicity,
     }
