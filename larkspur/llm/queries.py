@@ -1,5 +1,6 @@
 """The text operators' driver queries (spark, sf_dir) -> DataFrame, and their SQL where SQL can express them."""
 
+from .brown import op7_perplexity
 from .chat import op2_chat
 from .fingerprints import op1_fingerprint
 from .html_text import op8_html
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_secrets": op3_secrets,
         "op4_neardup": op4_neardup,
         "op6_mixing": op6_mixing,
+        "op7_perplexity": op7_perplexity,
         "op8_html": op8_html,
         "op9_language": op9_language,
         "op10_toxicity": op10_toxicity,
