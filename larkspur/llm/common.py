@@ -118,3 +118,31 @@ def cached(fn):
         return held[key]
 
     return call
+
+
+def summed_vectors(parts: DataFrame, dtype: str, length: int) -> DataFrame:
+    """key, vec: the element-wise sums of parts(key int, vec binary), one part a task and key.
+
+    Two levels of groups, so that no group holds more than about the root of the number of tasks."""
+    salts = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
+
+    def add(key, pdf):
+        import pandas as pd
+
+        acc = np.zeros(length, np.float64)
+        for v in pdf["vec"]:
+            acc += np.frombuffer(v, dtype)
+        return pd.DataFrame({"key": [int(key[0])], "vec": [acc.tobytes()]})
+
+    salted = parts.withColumn("salt", F.spark_partition_id() % salts)
+    some = salted.groupBy("key", "salt").applyInPandas(add, "key int, vec binary")
+
+    def add_doubles(key, pdf):
+        import pandas as pd
+
+        acc = np.zeros(length, np.float64)
+        for v in pdf["vec"]:
+            acc += np.frombuffer(v, np.float64)
+        return pd.DataFrame({"key": [int(key[0])], "vec": [acc.tobytes()]})
+
+    return some.groupBy("key").applyInPandas(add_doubles, "key int, vec binary") if salts > 1 else some

@@ -2,6 +2,7 @@
 
 from .brown import op7_perplexity
 from .chat import op2_chat
+from .decontaminate import op5_decontamination
 from .fingerprints import op1_fingerprint
 from .html_text import op8_html
 from .language import op9_language
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op2_chat": op2_chat,
         "op3_secrets": op3_secrets,
         "op4_neardup": op4_neardup,
+        "op5_decontamination": op5_decontamination,
         "op6_mixing": op6_mixing,
         "op7_perplexity": op7_perplexity,
         "op8_html": op8_html,
