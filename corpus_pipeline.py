@@ -1,15 +1,58 @@
-"""A corpus pipeline over documents: every stage takes what its predecessor kept."""
+"""A corpus pipeline over documents: every stage takes what its predecessor kept.
+
+language:  documents without any identifiable language go.
+neardup:   of each group of near duplicates the document with the smallest id stays.
+benchmark: documents that hold a benchmark item go.
+secrets:   live credentials are masked in the texts; every document stays.
+mixing:    the source schedule over what is left: what the mix takes of every document.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from larkspur.llm import credentials, decontaminate, language, mixing, neardup
+from larkspur.llm.common import staged, table
+
+
+def language_stage(spark, docs, sf_dir):
+    """Keeps the documents whose language is known (op 9); learns from the labelled documents it is given."""
+    net = language.train_network(*language.training_sample(docs))
+    return language.keep_identified(docs, net)
+
+
+def neardup_stage(spark, docs, sf_dir):
+    """Keeps one document of each group of near duplicates (op 4)."""
+    return neardup.keep_one(docs)
+
+
+def benchmark_stage(spark, docs, sf_dir):
+    """Keeps the documents that hold no benchmark item (op 5)."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark, docs, sf_dir):
+    """Masks live credentials (op 3)."""
+    return credentials.masked(docs)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """What the mix takes of each document: the last stage's rows (op 6)."""
+    return mixing.mixed_rows(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("neardup", neardup_stage),
+    ("benchmark", benchmark_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+]
+
+#: Neither trained language identification nor sketches and latent spaces can be told in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str):
     """Apply all stages to documents; each stage's rows are written and read again."""
-    from larkspur.llm.common import staged, table
-
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -76,7 +76,7 @@ def word_counts(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
             for text in b["text"]:
                 held.update(byte_words(text))
             held[END] += len(b)
-            if len(held) > 400_000:
+            if len(held) > 200_000:
                 yield out()
                 held.clear()
         if held:
@@ -131,7 +131,7 @@ def unit_bigrams(docs: DataFrame, head: np.ndarray, cfg: Config) -> np.ndarray:
             for text in b["text"]:
                 stream += byte_words(text)
                 stream.append(END)
-            if len(look) > 400_000:
+            if len(look) > 150_000:
                 look, unit = Lookup(forms), np.zeros(0, np.int64)
             at, before = look.places(stream)
             if len(look) > before:
@@ -288,7 +288,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
         look, cls, known = fresh()
         for b in batches:
-            if len(look) > 300_000:
+            if len(look) > 150_000:
                 look, cls, known = fresh()
             stream, ends = [], []
             for text in b["text"]:

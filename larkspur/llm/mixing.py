@@ -131,17 +131,20 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return rows, plan, got
 
 
-def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    """Contract query: how much of every document the mix takes."""
-    rows, _, got = mixed(table(spark, sf_dir, "documents"))
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
+    rows, _, got = mixed(docs)
     taken = got.groupBy("rid").agg(F.sum("words").alias("taken"))
     out = rows.join(taken, "rid", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    """Contract query: how much of every document the mix takes."""
+    return mixed_rows(table(spark, sf_dir, "documents"))
+
+
 def mixed_order(docs: DataFrame) -> DataFrame:
-    """Pipeline decision: every document that the mix takes, with its first slot, the words taken and the times
-    it is repeated (taken over size)."""
+    """slot, doc_id, words: the mix itself, in schedule order; what each slot cuts out of which document."""
     rows, _, got = mixed(docs)
-    taken = got.groupBy("rid").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
-    return rows.join(taken, "rid").select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    return got.join(rows.select("rid", "doc_id"), "rid").select("slot", "doc_id", "words")
