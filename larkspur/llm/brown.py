@@ -39,7 +39,7 @@ class Config:
     classes: int = 48
     sweeps: int = 8
     #: So many words' counts are sent to all executors; the others are joined.
-    common: int = 1 << 19
+    common: int = 1 << 18
     #: Weight of the class frequencies in the transitions.
     prior: float = 8.0
 
@@ -48,17 +48,28 @@ class Config:
         return self.head + self.forms
 
 
-def word_hash(w: bytes) -> int:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    h = xxhash.xxh3_64_intdigest(w)
-    return h - (1 << 64) if h >> 63 else h
+    h = xxhash.xxh3_64_intdigest
+    return np.array([h(w) for w in words], np.uint64).view(np.int64)
 
 
-def form_of(w: bytes, forms: int) -> int:
-    import zlib
+class Forms(dict):
+    """ending (the last three bytes) -> form."""
 
-    return zlib.crc32(w[-3:] + bytes([min(len(w), 12) // 4])) % forms
+    def __init__(self, forms: int):
+        super().__init__()
+        self.forms = forms
+
+    def __missing__(self, ending: bytes) -> int:
+        import zlib
+
+        f = self[ending] = zlib.crc32(ending) % self.forms
+        return f
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.array([self[w[-3:]] for w in words], np.int64)
 
 
 def word_counts(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -67,10 +78,11 @@ def word_counts(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
+        form = Forms(forms)
 
         def out() -> pd.DataFrame:
             words = list(held)
-            return pd.DataFrame({"h": [word_hash(w) for w in words], "form": [form_of(w, forms) for w in words], "n": list(held.values())})
+            return pd.DataFrame({"h": word_hashes(words), "form": form.of(words), "n": list(held.values())})
 
         for b in batches:
             for text in b["text"]:
@@ -86,26 +98,20 @@ def word_counts(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
     return parts.groupBy("h").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
 
-class Lookup(dict):
-    """word -> place in growing arrays; filled a batch at a time."""
+class Places(dict):
+    """word -> its number, by first appearance; new holds the words that have come since it was last emptied."""
 
-    def __init__(self, forms: int, **tables: np.ndarray):
+    def __init__(self):
         super().__init__()
-        self.forms, self.tables = forms, tables
-        self.h = np.zeros(0, np.int64)
-        self.form = np.zeros(0, np.int32)
-
-    def places(self, words: list[bytes]) -> tuple[np.ndarray, int]:
-        """Places of the words, and how many places were known before."""
-        before = len(self)
-        new = {w for w in set(words) if w not in self}
-        if new:
-            new = sorted(new)
-            for w in new:
-                self[w] = len(self)
-            self.h = np.concatenate([self.h[:before], np.array([word_hash(w) for w in new], np.int64)])
-            self.form = np.concatenate([self.form[:before], np.array([form_of(w, self.forms) for w in new], np.int32)])
-        return np.array([self[w] for w in words], np.int64), before
+        self.new: list[bytes] = []
+
+    def __missing__(self, w: bytes) -> int:
+        n = self[w] = len(self)
+        self.new.append(w)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _find(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -123,7 +129,7 @@ def unit_bigrams(docs: DataFrame, head: np.ndarray, cfg: Config) -> np.ndarray:
     keys, number = head[order], order.astype(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        look = Lookup(forms)
+        look, form = Places(), Forms(forms)
         unit = np.zeros(0, np.int64)
         acc = np.zeros(u * u, np.int32)
         for b in batches:
@@ -131,36 +137,44 @@ def unit_bigrams(docs: DataFrame, head: np.ndarray, cfg: Config) -> np.ndarray:
             for text in b["text"]:
                 stream += byte_words(text)
                 stream.append(END)
-            if len(look) > 150_000:
-                look, unit = Lookup(forms), np.zeros(0, np.int64)
-            at, before = look.places(stream)
-            if len(look) > before:
-                f = _find(keys, look.h[before:])
-                unit = np.concatenate([unit, np.where(f >= 0, number[f], n_head + look.form[before:])])
+            if len(look) > 300_000:
+                look, unit = Places(), np.zeros(0, np.int64)
+            at = look.of(stream)
+            if look.new:
+                f = _find(keys, word_hashes(look.new))
+                unit = np.concatenate([unit, np.where(f >= 0, number[f] if len(number) else 0, n_head + form.of(look.new))])
+                look.new.clear()
             s = unit[at]
             pair, n = np.unique(s[:-1] * u + s[1:], return_counts=True)
             acc[pair] += n.astype(np.int32)
-        full = acc.reshape(u, u)
+        yield from sparse_rows(acc.reshape(u, u))
+
+    def sparse_rows(full: np.ndarray) -> Iterator[pd.DataFrame]:
         for lo in range(0, u, 256):
             rows = []
             for i in range(lo, min(lo + 256, u)):
                 j = np.flatnonzero(full[i])
                 if len(j):
-                    rows.append((i, j.astype(np.int16).tobytes(), full[i, j].tobytes()))
+                    rows.append((i, j.astype(np.int16).tobytes(), full[i, j].astype(np.int64).tobytes()))
             if rows:
                 yield pd.DataFrame(rows, columns=["i", "j", "n"])
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        row = np.zeros(u)
+        row = np.zeros(u, np.int64)
         for j, n in zip(pdf["j"], pdf["n"], strict=True):
-            row[np.frombuffer(j, np.int16)] += np.frombuffer(n, np.int32)
-        return pd.DataFrame({"i": [key[0]], "row": [row.astype(np.float32).tobytes()]})
-
-    parts = docs.select("text").mapInPandas(run, "i int, j binary, n binary")
+            row[np.frombuffer(j, np.int16)] += np.frombuffer(n, np.int64)
+        j = np.flatnonzero(row)
+        return pd.DataFrame({"i": [int(key[0])], "j": [j.astype(np.int16).tobytes()], "n": [row[j].tobytes()]})
+
+    schema = "i int, j binary, n binary"
+    parts = docs.select("text").mapInPandas(run, schema)
+    # two levels of groups: none holds more than about the root of the number of tasks
+    salts = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
+    some = parts.withColumn("salt", F.spark_partition_id() % salts).groupBy("i", "salt").applyInPandas(add, schema)
     out = np.zeros((u, u), np.float32)
-    # u rows of u floats, whatever the size of the corpus
-    for r in parts.groupBy("i").applyInPandas(add, "i int, row binary").toLocalIterator():
-        out[r["i"]] = np.frombuffer(r["row"], np.float32)
+    # u rows of at most u counts, whatever the size of the corpus
+    for r in some.groupBy("i").applyInPandas(add, schema).toLocalIterator():
+        out[r["i"], np.frombuffer(r["j"], np.int16)] = np.frombuffer(r["n"], np.int64)
     return out
 
 
@@ -238,10 +252,18 @@ def train(docs: DataFrame, counts: DataFrame, cfg: Config = Config()) -> Model:
     """The model of training texts docs(text); counts are their word_counts (a staged table)."""
     n_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, types = int(n_all[0]), int(n_all[1])
-    top = counts.orderBy(F.desc("n"), "h").limit(cfg.common).select("h", "n").toPandas()
-    top_h, top_n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
-    order = np.lexsort((top_h, -top_n))
-    head = top_h[order[: cfg.head]]
+    # how many words are how frequent, by eighths of doublings (a few hundred rows): where the table must end
+    level = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(((r["level"], r["v"]) for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v")).collect()), reverse=True)
+    room, least = cfg.common, 1 << 30
+    for lv, v in sizes:
+        if v > room:
+            break
+        room, least = room - v, lv
+    top = counts.filter(level >= least).select("h", "form", "n").toArrow()
+    top_h, top_form, top_n = (top.column(c).to_numpy() for c in ("h", "form", "n"))
+    order = np.lexsort((top_h, -top_n))[: cfg.head]
+    head = top_h[order]
     if total:
         m = unit_bigrams(docs, head, cfg)
         cls = exchange(m, cfg.classes, cfg.sweeps)
@@ -250,20 +272,19 @@ def train(docs: DataFrame, counts: DataFrame, cfg: Config = Config()) -> Model:
         m, cls, classes = np.zeros((cfg.units, cfg.units), np.float32), np.zeros(cfg.units, np.int64), 1
     # tokens and distinct words of each class: the words that are units, and the other words by form
     n_class, v_class = np.zeros(classes), np.zeros(classes)
-    np.add.at(n_class, cls[: len(head)], top_n[order[: cfg.head]].astype(float))
+    np.add.at(n_class, cls[: len(head)], top_n[order].astype(float))
     np.add.at(v_class, cls[: len(head)], 1)
     rest = counts.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     n_form, v_form = np.zeros(cfg.forms), np.zeros(cfg.forms)
     n_form[rest["form"]], v_form[rest["form"]] = rest["n"], rest["v"]
     # the units that are words leave their forms
-    own = counts.filter(F.col("n") >= (int(top_n[order[: cfg.head]].min()) if len(head) else 0)).select("h", "form", "n").orderBy(F.desc("n"), "h").limit(cfg.head).toPandas()
-    np.subtract.at(n_form, own["form"].to_numpy(int), own["n"].to_numpy(float))
-    np.subtract.at(v_form, own["form"].to_numpy(int), 1)
+    np.subtract.at(n_form, top_form[order], top_n[order].astype(float))
+    np.subtract.at(v_form, top_form[order], 1)
     np.add.at(n_class, cls[cfg.head :], n_form)
     np.add.at(v_class, cls[cfg.head :], v_form)
     hot = np.zeros((cfg.units, classes))
     hot[np.arange(cfg.units), cls] = 1
-    big = hot.T @ (m.astype(np.float64) @ hot)
+    big = sum(hot[k : k + 256].T @ (m[k : k + 256].astype(np.float64) @ hot) for k in range(0, cfg.units, 256))
     share = (n_class + 1) / (n_class.sum() + classes)
     step = np.log10((big + cfg.prior * share) / (big.sum(axis=1, keepdims=True) + cfg.prior))
     by_h = np.argsort(top_h)
@@ -283,27 +304,31 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
         order = np.argsort(m.head)
         keys = m.head[order]
 
+        form = Forms(m.forms)
+
         def fresh():
-            return Lookup(m.forms), np.zeros(0, np.int64), np.zeros(0)
+            return Places(), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
 
-        look, cls, known = fresh()
+        look, cls, known, hashes = fresh()
+        end_class = m.unit_class[_unit_of_end(m, keys, order, n_head)]
         for b in batches:
-            if len(look) > 150_000:
-                look, cls, known = fresh()
+            if len(look) > 300_000:
+                look, cls, known, hashes = fresh()
             stream, ends = [], []
             for text in b["text"]:
                 stream += byte_words(text)
                 stream.append(END)
                 ends.append(len(stream))
-            at, before = look.places(stream)
-            if len(look) > before:
-                h = look.h[before:]
+            at = look.of(stream)
+            if look.new:
+                h = word_hashes(look.new)
                 f = _find(keys, h)
-                cls = np.concatenate([cls, m.unit_class[np.where(f >= 0, order[f] if len(order) else 0, n_head + look.form[before:])]])
+                cls = np.concatenate([cls, m.unit_class[np.where(f >= 0, order[f] if len(order) else 0, n_head + form.of(look.new))]])
                 c = _find(m.common_h, h)
                 # log10(count + 1) of common words, NaN for those that the join will tell
                 known = np.concatenate([known, np.where(c >= 0, np.log10((m.common_n[c] if len(m.common_n) else np.zeros(len(c))) + 1.0), np.nan)])
-            end_class = m.unit_class[_unit_of_end(m, keys, order, n_head)]
+                hashes = np.concatenate([hashes, h])
+                look.new.clear()
             k = cls[at]
             starts = np.concatenate([[0], ends[:-1]]).astype(int)
             last = np.empty_like(k)
@@ -322,7 +347,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
             hs, tf = [], []
             for s, e in zip(starts, ends, strict=True):
                 p, n = np.unique(at[s:e][rare[s:e]], return_counts=True)
-                hs.append(look.h[p]), tf.append(n.astype(np.int32))
+                hs.append(hashes[p]), tf.append(n.astype(np.int32))
             yield pd.DataFrame({"doc_id": b["doc_id"], **rows, "h": hs, "tf": tf})
 
     local = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, common long, logs double, moves double, h array<long>, tf array<int>")
@@ -343,8 +368,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
 
 
 def _unit_of_end(m: Model, keys: np.ndarray, order: np.ndarray, n_head: int) -> int:
-    f = int(_find(keys, np.array([word_hash(END)]))[0])
-    return int(order[f]) if f >= 0 else n_head + form_of(END, m.forms)
+    f = int(_find(keys, word_hashes([END]))[0])
+    return int(order[f]) if f >= 0 else n_head + int(Forms(m.forms).of([END])[0])
 
 
 def op7_perplexity(spark, sf_dir: str) -> DataFrame:
