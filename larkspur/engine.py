@@ -180,13 +180,15 @@ class Engine:
         seen = {"examined": 0}
         if self.telemetry is None:
             return self._run(query, chosen, seen)
-        result, error = None, None
+        result, error, size = None, None, 0
         try:
             result = self._run(query, chosen, seen, counted=True)
+            # an execution is over when its rows are known: counting runs the query
+            size = _size(result)
         except EngineError as e:
             error = e
         try:
-            self.telemetry.record(event_of(query, chosen, seen["examined"], _size(result), (time.perf_counter_ns() - began) // 1000, error is None))
+            self.telemetry.record(event_of(query, chosen, seen["examined"], size, (time.perf_counter_ns() - began) // 1000, error is None))
         except Exception:  # noqa: BLE001  an observer never changes a result
             pass
         if error is not None:
