@@ -244,7 +244,8 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     for d in range(1, limit + 1):
         nxt = {}
         for k in range(-d, d + 1):
-            i = max(reach.get(k, -1) + 1 if k in reach else -1, reach.get(k + 1, -2) + 1 if k + 1 in reach else -1, reach.get(k - 1, -1) if k - 1 in reach else -1)
+            # a character of a goes, one of b comes, or one turns into the other
+            i = max(reach.get(k - 1, -2) + 1, reach.get(k + 1, -1), reach.get(k, -2) + 1)
             if i < 0:
                 continue
             i = min(i, n)
