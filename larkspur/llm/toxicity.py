@@ -1,8 +1,9 @@
 """Toxicity by a convolutional text classifier over hashed word embeddings.
 
 A word's vector is the sum of embeddings hashed from the word and from its first bytes, so that inflected
-forms share weight.  Filters of one, two and three words slide over the text, each keeps its maximum, and a
-logistic layer reads the maxima.  One filter starts from the word's log-odds in the training rows; all are
+forms share weight.  Filters of one, two and three words slide over the text.  Each keeps its maximum in
+each of eight interleaved parts of the text (word places modulo 8) and over all; a logistic layer reads the
+sum over the parts, which tells several hits from one, and the maximum.  One filter starts from the word's log-odds in the training rows; all are
 then trained in numpy.  Thresholds are calibrated by language: the language is guessed from the words
 alone, and the logit is shifted so that 0.5 is that language's best threshold on calibration rows.
 
@@ -26,7 +27,9 @@ from .common import Adam, crc_part, small_batches
 
 #: Everything that is not an ASCII letter or a byte of a longer character separates words.
 _SPLIT = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5, 6, 7)
+#: Interleaved parts of a text that are pooled apart.
+PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,8 @@ class Config:
     lr: float = 8e-3
     #: The bound of the training sample: so many texts of either label.
     texts_per_label: int = 2500
+    #: So many further clean texts are scored to set the thresholds, but not trained on.
+    clean_for_cuts: int = 4000
     #: So many words of a training text at most are learnt from (a block from a hashed place on).
     train_words: int = 1500
     #: A language has a threshold of its own from so many calibration texts of either label on.
@@ -69,7 +74,7 @@ class ToxicNet:
     def logits(self, texts: list[str | None]) -> np.ndarray:
         """Calibrated logit of each whole text; words run through in blocks, maxima are merged."""
         n_lang = len(self.shift) - 1
-        top = np.full((len(texts), self.filters * len(self.widths)), -np.inf, np.float32)
+        top = np.full((len(texts), PARTS, self.filters * len(self.widths)), -np.inf, np.float32)
         lang = np.zeros((len(texts), n_lang))
         reach = max(self.widths) - 1
         cols = self.table.shape[1]
@@ -86,13 +91,15 @@ class ToxicNet:
             n = len(ids)
             at = np.array(starts)
             col = 0
+            parts = at // PARTS
             for k, w in enumerate(self.widths):
                 z = r[:n, col : col + self.filters].copy()
                 for j in range(1, w):
                     z += r[j : n + j, col + j * self.filters : col + (j + 1) * self.filters]
                 col += w * self.filters
-                part = np.maximum.reduceat(z, at, axis=0)
-                np.maximum.at(top[:, k * self.filters : (k + 1) * self.filters], owner, part)
+                # texts begin at multiples of PARTS, so a row holds one place of each part
+                most = np.maximum.reduceat(z.reshape(-1, PARTS, self.filters), parts, axis=0)
+                np.maximum.at(top[:, :, k * self.filters : (k + 1) * self.filters], owner, most)
             if n_lang:
                 np.add.at(lang, owner, np.add.reduceat(r[:n, col:], at, axis=0))
             ids.clear(), starts.clear(), owner.clear()
@@ -113,14 +120,15 @@ class ToxicNet:
                 block = words[at : at + 20_000 + reach]
                 starts.append(len(ids))
                 owner.append(t)
-                ids += [index.get(w) or number(w) for w in block] + [0] * reach
+                ids += [index.get(w) or number(w) for w in block]
+                ids += [0] * (reach + -(len(ids) + reach) % PARTS)
                 if len(ids) > 60_000:
                     flush()
                     if len(index) > 150_000:
                         index.clear()
         flush()
         h = np.maximum(top + self.bias, 0)
-        z = h @ self.out + self.out_bias
+        z = np.concatenate([h.sum(axis=1), h.max(axis=1)], axis=1) @ self.out + self.out_bias
         known = np.abs(lang).sum(axis=1) > 0
         guess = np.where(known, lang.argmax(axis=1) if n_lang else 0, n_lang)
         return z - self.shift[guess]
@@ -132,17 +140,19 @@ class ToxicNet:
 
 
 def _forward(e, convs, bias, widths):
-    """Word vectors (n + reach, embed) of one text -> maxima and where they are."""
+    """Word vectors (n + reach, embed; n a multiple of PARTS) of one text -> for each part the maxima with
+    bias, and where they are."""
     n = len(e) - max(widths) + 1
     best, arg = [], []
     for w, c, b in zip(widths, convs, bias, strict=True):
         z = e[:n] @ c[0]
         for k in range(1, w):
             z = z + e[k : n + k] @ c[k]
+        z = z.reshape(-1, PARTS, z.shape[1])
         a = z.argmax(axis=0)
-        arg.append(a)
-        best.append(z[a, np.arange(z.shape[1])] + b)
-    return np.concatenate(best), arg
+        arg.append(a * PARTS + np.arange(PARTS)[:, None])
+        best.append(np.take_along_axis(z, a[None], 0)[0] + b)
+    return np.concatenate(best, axis=1), arg
 
 
 def train_network(texts: list[str | None], labels: list[int], langs: list[str | None], cfg: Config = Config()) -> ToxicNet:
@@ -160,24 +170,32 @@ def train_network(texts: list[str | None], labels: list[int], langs: list[str |
         return np.array([cache[w] for w in words], np.int64).reshape(-1, 1 + len(_PREFIXES))
 
     # Log-odds of each hashed feature by the number of texts that hold it: where one filter starts.
+    # A word counts up to four times a text: the label may want more than one hit.
+    spare = np.cumsum(y == 0) > cfg.texts_per_label
+    spare &= y == 0
     held = [np.zeros(cfg.buckets), np.zeros(cfg.buckets)]
     names = sorted({x for x in langs if x is not None})
     by_lang = np.ones((cfg.buckets, len(names)))
     enc = []
-    for text, lab, lang in zip(texts, labels, langs, strict=True):
+    for text, lab, lang, out_of in zip(texts, labels, langs, spare, strict=True):
+        if out_of:
+            enc.append(None)
+            continue
         words = words_in(text)
         if len(words) > cfg.train_words:
             s = int(rng.integers(0, len(words) - cfg.train_words + 1))
             words = words[s : s + cfg.train_words]
         f = encode(words)
         enc.append(f)
-        present = np.unique(f)
-        held[int(lab)][present] += 1
+        present, times = np.unique(f, return_counts=True)
+        held[int(lab)][present] += np.minimum(times, 4)
         if lang is not None:
             by_lang[present, names.index(lang)] += 1
-    tot = [max((y == 0).sum(), 1), max((y == 1).sum(), 1)]
+    tot = [max(((y == 0) & ~spare).sum(), 1), max((y == 1).sum(), 1)]
     odds = np.log((held[1] + 0.3) / (tot[1] + 0.6)) - np.log((held[0] + 0.3) / (tot[0] + 0.6))
-    odds[(held[0] + held[1]) < 2] = 0
+    # few texts say little: what a handful of copies share is no evidence
+    seen = held[0] + held[1]
+    odds *= seen / (seen + 6)
     lang_cols = np.log(by_lang / by_lang.sum(axis=0))
     lang_cols -= lang_cols.mean(axis=1, keepdims=True)
 
@@ -187,15 +205,18 @@ def train_network(texts: list[str | None], labels: list[int], langs: list[str |
     convs[0][0, :, 0] = 0
     convs[0][0, 0, 0] = 1
     bias = [np.zeros(cfg.filters, np.float32) for _ in cfg.widths]
-    out = rng.normal(0, 0.05, cfg.filters * len(cfg.widths)).astype(np.float32)
-    out[0] = 1.5
+    bias[0][0] = -1
+    width = cfg.filters * len(cfg.widths)
+    out = rng.normal(0, 0.05, 2 * width).astype(np.float32)
+    out[0] = out[width] = 0.6
     ob = np.full(1, -2.0, np.float32)
     opt = Adam([*convs, *bias, out, ob], cfg.lr)
-    # A tenth of the sample is not trained on: it sets the thresholds, with the rest behind it.
-    fold = rng.integers(0, 10, len(y))
+    # An eighth of the sample is not trained on: it sets the thresholds, with the rest behind it.
+    fold = np.where(spare, 0, rng.integers(0, 8, len(y)))
     reach = max(cfg.widths) - 1
     train = np.flatnonzero(fold > 0)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
+    share = tot[1] / (tot[0] + tot[1])
+    weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
     for epoch in range(cfg.epochs):
         opt.lr = cfg.lr * (1 - epoch / cfg.epochs)
         rng.shuffle(train)
@@ -204,27 +225,31 @@ def train_network(texts: list[str | None], labels: list[int], langs: list[str |
             pick = train[s : s + 32]
             for i in pick:
                 f = enc[i]
-                e = np.zeros((len(f) + 2 * reach + 1, cfg.embed), np.float32)
+                # at least one place after the words, then up to a multiple of PARTS
+                e = np.zeros(((len(f) + reach + PARTS) // PARTS * PARTS + reach, cfg.embed), np.float32)
                 if len(f):
                     e[: len(f)] = emb[f].sum(axis=1)
                 pre, arg = _forward(e, convs, bias, cfg.widths)
                 h = np.maximum(pre, 0)
-                p = 1 / (1 + np.exp(-np.clip(h @ out + ob[0], -30, 30)))
+                most = h.argmax(axis=0)
+                read = np.concatenate([h.sum(axis=0), h.max(axis=0)])
+                p = 1 / (1 + np.exp(-np.clip(read @ out + ob[0], -30, 30)))
                 g = (p - y[i]) * weight[i] / len(pick)
-                gh = g * out * (pre > 0)
-                grads[-2] += g * h
+                grads[-2] += g * read
                 grads[-1] += g
+                gh = np.repeat(g * out[None, :width], PARTS, axis=0)
+                gh[most, np.arange(width)] += g * out[width:]
+                gh *= pre > 0
                 for k, w in enumerate(cfg.widths):
-                    gk = gh[k * cfg.filters : (k + 1) * cfg.filters]
-                    grads[len(convs) + k] += gk
+                    gk = gh[:, k * cfg.filters : (k + 1) * cfg.filters]
+                    grads[len(convs) + k] += gk.sum(axis=0)
                     for j in range(w):
-                        x = e[arg[k] + j]  # filter, embed
-                        grads[k][j] += x.T * gk
-                        if len(f):
-                            back = convs[k][j].T * gk[:, None]
-                            for q in np.flatnonzero(gk):
-                                if arg[k][q] + j < len(f):
-                                    emb[f[arg[k][q] + j]] -= opt.lr * back[q]
+                        x = e[arg[k] + j]  # part, filter, embed
+                        grads[k][j] += np.einsum("pfe,pf->ef", x, gk)
+                        for q, r in zip(*np.nonzero(gk), strict=True):
+                            at = arg[k][q, r] + j
+                            if at < len(f):
+                                emb[f[at]] -= opt.lr * gk[q, r] * convs[k][j][:, r]
             grads[-2] += 1e-4 * out
             opt.step(grads)
     table = np.concatenate([emb @ c[j] for c in convs for j in range(c.shape[0])] + [lang_cols], axis=1).astype(np.float32)
@@ -235,7 +260,8 @@ def train_network(texts: list[str | None], labels: list[int], langs: list[str |
 
 
 def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1; among equals the middle of the widest gap."""
+    """The cut with the best F1; among equals within the widest gap, and there nearer to the class of which more
+    texts are known (an extreme is as uncertain as the root of their number is small)."""
     order = np.argsort(z)
     zs, ys = z[order], y[order]
     tp = ys[::-1].cumsum()[::-1]
@@ -244,7 +270,9 @@ def _best_cut(z: np.ndarray, y: np.ndarray) -> float:
     gap = np.diff(zs, prepend=zs[0] - 1)
     ok = (gap > 0) & (f1 >= f1[gap > 0].max() - 1e-9)
     i = np.flatnonzero(ok)[gap[ok].argmax()]
-    return float((zs[i] + zs[i - 1]) / 2) if i else float(zs[0] - 0.5)
+    near = (len(y) - y.sum()) ** -0.5 if y.sum() < len(y) else 1.0
+    far = y.sum() ** -0.5 if y.sum() else 1.0
+    return float(zs[i - 1] + (zs[i] - zs[i - 1]) * near / (near + far)) if i else float(zs[0] - 0.5)
 
 
 def _thresholds(z, y, langs, names, calib, least) -> np.ndarray:
@@ -261,23 +289,25 @@ def _thresholds(z, y, langs, names, calib, least) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, cfg: Config = Config()):
-    """At most cfg.texts_per_label labelled texts of either label whose id's crc32 mod 5 is not 0, by a hash of the id."""
+    """At most cfg.texts_per_label labelled texts of either label (and cfg.clean_for_cuts further clean ones)
+    whose id's crc32 mod 5 is not 0, by a hash of the id."""
+    room = {0: cfg.texts_per_label + cfg.clean_for_cuts, 1: cfg.texts_per_label}
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_part("doc_id", 5) != 0))
     counts = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     keep = F.lit(False)
     for k, n in counts.items():
-        keep = keep | ((F.col("toxic") == k) & (h < int(min(1.0, 1.2 * cfg.texts_per_label / n) * 1_000_000) + 1))
-    # the sample is at most 2.4 * texts_per_label rows by construction
+        keep = keep | ((F.col("toxic") == k) & (h < int(min(1.0, 1.2 * room[k] / n) * 1_000_000) + 1))
+    # the sample is bounded: about 1.2 times the room
     picked = F.broadcast(lab.filter(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     # what one text adds is bounded too: a block of characters around a hashed place
-    room = 8 * cfg.train_words
-    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - room, F.lit(1))) + 1
-    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", F.substr("text", start.cast("int"), F.lit(room)).alias("text")).collect()
+    span = 8 * cfg.train_words
+    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - span, F.lit(1))) + 1
+    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", F.substr("text", start.cast("int"), F.lit(span)).alias("text")).collect()
     seen = {0: 0, 1: 0}
     out = []
     for r in sorted(rows, key=lambda r: (r["toxic"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "")):
-        if seen[r["toxic"]] < cfg.texts_per_label:
+        if seen[r["toxic"]] < room[r["toxic"]]:
             seen[r["toxic"]] += 1
             out.append(r)
     return [r["text"] for r in out], [r["toxic"] for r in out], [r["lang"] for r in out]
