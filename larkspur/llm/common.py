@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,15 +121,51 @@ def cached(fn):
     return call
 
 
+#: Bits of a Bloom filter; its size does not grow with what it holds (it only lets more through).
+_BLOOM_BITS = 25
+
+
+def narrowed(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose col is among ids[col], and a few others: a cheap filter before a join, so that rows
+    without a partner (and their texts) do not move.  Null ids may go."""
+    spark = df.sparkSession
+    size = (1 << _BLOOM_BITS) // 8
+
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        with np.errstate(over="ignore"):
+            return [((h * np.uint64(m)) >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+    def fill(batches):
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            for p in places(b["h"].to_numpy(np.int64).view(np.uint64)):
+                np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+    parts = ids.select(F.xxhash64(col).alias("h")).coalesce(6).mapInPandas(fill, "bits binary")
+    bits = np.zeros(size, np.uint8)
+    for r in parts.toLocalIterator():
+        bits |= np.frombuffer(r["bits"], np.uint8)
+    held = spark.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        bits = np.frombuffer(held.value, np.uint8)
+        ok = np.ones(len(h), bool)
+        for p in places(h.to_numpy(np.int64).view(np.uint64)):
+            ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(ok)
+
+    return df.filter(maybe(F.xxhash64(col)))
+
+
 def summed_vectors(parts: DataFrame, dtype: str, length: int) -> DataFrame:
     """key, vec: the element-wise sums of parts(key int, vec binary), one part a task and key.
 
     Two levels of groups, so that no group holds more than about the root of the number of tasks."""
     salts = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
 
-    def add(key, pdf):
-        import pandas as pd
-
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         acc = np.zeros(length, np.float64)
         for v in pdf["vec"]:
             acc += np.frombuffer(v, dtype)
@@ -137,9 +174,7 @@ def summed_vectors(parts: DataFrame, dtype: str, length: int) -> DataFrame:
     salted = parts.withColumn("salt", F.spark_partition_id() % salts)
     some = salted.groupBy("key", "salt").applyInPandas(add, "key int, vec binary")
 
-    def add_doubles(key, pdf):
-        import pandas as pd
-
+    def add_doubles(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         acc = np.zeros(length, np.float64)
         for v in pdf["vec"]:
             acc += np.frombuffer(v, np.float64)

@@ -142,7 +142,6 @@ def train_network(texts: list[str], labels: list[str], cfg: Config = Config()) -
     out = rng.normal(0, (1 / width) ** 0.5, (width, len(langs))).astype(np.float32)
     out_b = np.zeros(len(langs), np.float32)
     opt = Adam([emb, *convs, *bias, out, out_b], cfg.lr)
-    lanes = np.arange(cfg.filters)
     for step in range(cfg.steps):
         opt.lr = cfg.lr * (1 - 0.9 * step / cfg.steps)
         pick = np.concatenate([rng.choice(b, -(-cfg.batch // len(by_lang))) for b in by_lang])

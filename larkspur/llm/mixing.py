@@ -28,9 +28,9 @@ BLOCK = 64
 EPOCHS = 3
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (1, 2, 3)
-#: Slots, and shuffled documents, are counted in chunks: so many slots, so many hash ranges of a source.
+#: Slots are counted in chunks of so many; shuffled documents in ranges of their hash's first hex digits.
 _CHUNK = 4096
-_RANGES = 512
+_DIGITS = 3
 #: The unit interval is cut into so many cells, where slots meet the sources' stretches by an equi-join.
 _CELLS = 1024
 
@@ -100,14 +100,14 @@ def schedule(goals: DataFrame) -> DataFrame:
 
 
 def streams(rows: DataFrame) -> DataFrame:
-    """rid, sid, lo, hi: where each document (sid, rid, size, source_size, epochs) stands in its source's stream,
+    """rid, sid, lo, hi: where each document (sid, rid, name, size, source_size, epochs) stands in its source's stream,
     once an epoch; an epoch has an order of its own."""
     e = rows.filter("size > 0 and epochs > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    e = e.withColumn("h", F.xxhash64("rid", "epoch")).withColumn("range", F.pmod(F.shiftright("h", 20), F.lit(_RANGES)))
+    e = e.withColumn("h", F.md5(F.concat_ws(":", "name", "epoch"))).withColumn("range", F.substring("h", 1, _DIGITS))
     sums = e.groupBy("sid", "epoch", "range").agg(F.sum("size").alias("n"))
     up = Window.partitionBy("sid", "epoch").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).drop("n")
-    inside = F.sum("size").over(Window.partitionBy("sid", "epoch", "range").orderBy("h", "rid").rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum("size").over(Window.partitionBy("sid", "epoch", "range").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
     placed = e.withColumn("inside", inside).join(sums, ["sid", "epoch", "range"])
     hi = F.col("epoch") * F.col("source_size") + F.col("before") + F.col("inside")
     return placed.select("rid", "sid", (hi - F.col("size")).alias("lo"), hi.alias("hi"))
@@ -118,9 +118,10 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = staged(sized(docs).withColumn("rid", F.monotonically_increasing_id()), "sizes")
     # repeated runs must agree, however rows are dealt: the id names a row, its number among equal ids the rest
     same = Window.partitionBy("doc_id", "source", "size").orderBy("rid")
-    sizes = sizes.withColumn("rid", F.xxhash64("doc_id", "source", "size", F.row_number().over(same)))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sizes = sizes.withColumn("name", F.concat_ws(":", text("doc_id"), text("source"), text("size"), F.row_number().over(same).cast("string")))
     goals = staged(targets(sizes), "targets")
-    rows = sizes.join(goals, sizes.source.eqNullSafe(goals.source)).select("doc_id", "rid", "size", "sid", "source_size", "target")
+    rows = sizes.join(goals, sizes.source.eqNullSafe(goals.source)).select("doc_id", "rid", "name", "size", "sid", "source_size", "target")
     rows = staged(rows.withColumn("epochs", F.least(F.lit(EPOCHS), F.ceil((F.col("target") + 2 * BLOCK) / F.greatest("source_size", F.lit(1))).cast("int"))), "rows")
     plan = schedule(goals)
     first = F.floor(F.col("lo") / BLOCK)
@@ -148,3 +149,32 @@ def mixed_order(docs: DataFrame) -> DataFrame:
     """slot, doc_id, words: the mix itself, in schedule order; what each slot cuts out of which document."""
     rows, _, got = mixed(docs)
     return got.join(rows.select("rid", "doc_id"), "rid").select("slot", "doc_id", "words")
+
+
+def _oracle() -> str:
+    """The contract query in DuckDB SQL: the same targets, grid points and hashed orders; what a source's slots
+    take is the beginning of its stream."""
+    weights = "[" + ", ".join(map(str, WEIGHTS)) + "]"
+    return f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD_RE}')) AS BIGINT) AS size FROM documents),
+r AS (SELECT *, concat_ws(':', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(source, ''), CAST(size AS VARCHAR), CAST(row_number() OVER (PARTITION BY doc_id, source, size) AS VARCHAR)) AS name FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, {weights}[sid % {len(WEIGHTS)} + 1] AS weight, {EPOCHS} * source_size AS cap FROM s),
+x AS (SELECT *, sum(source_size) OVER () AS all_words, sum(weight) OVER () AS all_weight,
+  coalesce(sum(cap) OVER below, 0) AS cap_below, coalesce(sum(weight) OVER below, 0) AS weight_below FROM w
+  WINDOW below AS (ORDER BY CAST(source_size AS DOUBLE) / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, CAST(all_words - cap_below AS DOUBLE) / CAST(all_weight - weight_below AS DOUBLE) AS level FROM x),
+z AS (SELECT *, level * weight > cap AS capped FROM y),
+l AS (SELECT arg_min(level, (CAST(source_size AS DOUBLE) / weight, sid)) FILTER (NOT capped) AS level FROM z),
+t AS (SELECT sid, source, source_size, CASE WHEN capped THEN CAST(cap AS DOUBLE) ELSE l.level * weight END AS target FROM z, l),
+c AS (SELECT *, sum(target) OVER (ORDER BY sid) / sum(target) OVER () AS hi, row_number() OVER (ORDER BY sid DESC) = 1 AS last FROM t WHERE target > 0),
+b AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY sid), 0) AS lo, CASE WHEN last THEN 1.5 ELSE hi END AS up FROM c),
+m AS (SELECT CAST(ceil(coalesce(sum(source_size), 0) / {BLOCK}.0) AS BIGINT) AS slots FROM s),
+g AS (SELECT (range + 0.5::DOUBLE) / slots AS u FROM m, range(0, (SELECT slots FROM m))),
+k AS (SELECT b.sid, count(*) * {BLOCK} AS words FROM g JOIN b ON g.u >= b.lo AND g.u < b.up GROUP BY b.sid),
+e AS (SELECT r.*, t.sid, t.source_size, t.target, epoch, md5(r.name || ':' || epoch) AS h FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source, range(0, {EPOCHS}) q(epoch)),
+p AS (SELECT *, epoch * source_size + sum(size) OVER (PARTITION BY sid, epoch ORDER BY h) AS hi FROM e)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, least(hi, coalesce(words, 0)) - (hi - size))) AS BIGINT) AS taken
+FROM p LEFT JOIN k USING (sid) GROUP BY name, doc_id, size, source_size, target"""
+
+
+ORACLE = _oracle()

@@ -6,7 +6,9 @@ from .decontaminate import op5_decontamination
 from .fingerprints import op1_fingerprint
 from .html_text import op8_html
 from .language import op9_language
+from .mixing import ORACLE as MIXING_SQL
 from .mixing import op6_mixing
+from .neardup import ORACLE as NEARDUP_SQL
 from .neardup import op4_neardup
 from .credentials import ORACLE as SECRETS_SQL
 from .credentials import op3_secrets
@@ -29,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": SECRETS_SQL}
+    return {"op3_secrets": SECRETS_SQL, "op4_neardup": NEARDUP_SQL, "op6_mixing": MIXING_SQL}
