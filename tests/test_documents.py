@@ -10,7 +10,7 @@ from larkspur.engine import Engine
 from larkspur.errors import AlreadyExists, EngineError, InvalidArgument, NotFound
 from larkspur.functions.timestamps import iso_text
 from larkspur.plans.parser import parse
-from larkspur.plans.syntax import ArrayOf, Binary, Literal, Read, Unary
+from larkspur.plans.syntax import ArrayOf, Literal, Read, Unary
 from larkspur.sources.backend import DocumentApi
 from larkspur.sources.ids import fresh_id
 
