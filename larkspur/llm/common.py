@@ -125,10 +125,9 @@ def cached(fn):
 _BLOOM_BITS = 25
 
 
-def narrowed(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
-    """The rows of df whose col is among ids[col], and a few others: a cheap filter before a join, so that rows
-    without a partner (and their texts) do not move.  Null ids may go."""
-    spark = df.sparkSession
+def bloom_test(ids: DataFrame, col: str):
+    """A column expression maker: whether an id column's value may be among ids[col] (never wrongly no)."""
+    spark = ids.sparkSession
     size = (1 << _BLOOM_BITS) // 8
 
     def places(h: np.ndarray) -> list[np.ndarray]:
@@ -156,7 +155,21 @@ def narrowed(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
             ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
         return pd.Series(ok)
 
-    return df.filter(maybe(F.xxhash64(col)))
+    return lambda name: maybe(F.xxhash64(name))
+
+
+def narrowed(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose col is among ids[col], and a few others: a cheap filter before a join, so that rows
+    without a partner (and their texts) do not move.  Null ids may go."""
+    return df.filter(bloom_test(ids, col)(col))
+
+
+def without(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose col is not among ids[col] (a staged table).  Rows that surely stay are only read; the
+    few others meet the ids in a join.  A null in df stays."""
+    maybe = bloom_test(ids, col)
+    doubtful = df.filter(maybe(col)).join(ids.select(col).distinct(), col, "left_anti").select(df.columns)
+    return df.filter(~maybe(col)).unionByName(doubtful)
 
 
 def summed_vectors(parts: DataFrame, dtype: str, length: int) -> DataFrame:

@@ -270,11 +270,18 @@ def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5) -> D
     reps = base.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
     firsts = staged(base.join(reps.drop("h").distinct(), "doc_id").dropDuplicates(["doc_id"]), "edit-texts")
     fps = staged(fingerprints(firsts), "edit-prints")
-    keys = F.udf(band_keys, "array<string>")  # one short string in, few short strings out
+
+    @F.pandas_udf("array<string>")
+    def keys(fp: pd.Series) -> pd.Series:
+        return fp.map(band_keys)
+
+    @F.pandas_udf("double")
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
     banded = fps.select("doc_id", F.explode(keys("fingerprint")).alias("key"))
     lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     pairs = banded.join(lead, "key").filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    like = F.udf(likeness, "double")
     fa, fb = (fps.select(F.col("doc_id").alias(c), F.col("fingerprint").alias(f"f{c}")) for c in "ab")
     close = pairs.join(fa, "a").join(fb, "b").filter(like("fa", "fb") >= least).select("a", "b")
     ta, tb = (firsts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
