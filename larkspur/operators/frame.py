@@ -91,9 +91,16 @@ class Frame:
     # -- stages
 
     def run(self, stages: tuple[Stage, ...]) -> Frame:
-        frame = self
-        for s in stages:
+        frame, k = self, 0
+        while k < len(stages):
+            s, after = stages[k], stages[k + 1] if k + 1 < len(stages) else None
+            if isinstance(s, Skip) and isinstance(after, Limit) and s.count + after.count < 1 << 31:
+                # a page of a sorted frame is a top-k that drops its first rows: no full sort
+                frame = replace(frame, df=frame.ordered().limit(s.count + after.count).offset(s.count))
+                k += 2
+                continue
             frame = _STAGES[type(s)](frame, s)
+            k += 1
         return frame
 
     def condition(self, stage: Filter) -> Column:

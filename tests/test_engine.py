@@ -194,6 +194,15 @@ def test_reopening_and_concurrent_commits(spark, small):
     assert Database.open(Store(spark, small.db.store.root)).version == fresh.db.version
 
 
+def test_pages_are_top_k(spark, data):
+    e = Engine(spark)
+    e.attach("events", spark.read.parquet(f"{data}/events.parquet"), ("event_id",))
+    r = e.execute("events.get {} | sort value desc | skip 5 | limit 3 | project event_id")
+    plan = r.df._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan
+    assert r.count() == 3
+
+
 def test_attached_tables_push_down(spark, data):
     e = Engine(spark)
     e.attach("events", spark.read.parquet(f"{data}/events.parquet"), ("event_id",), non_null="check")
