@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_words, crc_part, staged, table
+from .common import byte_words, crc_part, released, staged, table
 
 #: The end token; no word holds white space.
 END = b"\n"
@@ -94,7 +94,7 @@ def word_counts(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
         if held:
             yield out()
 
-    parts = docs.select("text").mapInPandas(run, "h long, form int, n long")
+    parts = docs.select("text").mapInPandas(released(run), "h long, form int, n long")
     return parts.groupBy("h").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
 
@@ -167,7 +167,7 @@ def unit_bigrams(docs: DataFrame, head: np.ndarray, cfg: Config) -> np.ndarray:
         return pd.DataFrame({"i": [int(key[0])], "j": [j.astype(np.int16).tobytes()], "n": [row[j].tobytes()]})
 
     schema = "i int, j binary, n binary"
-    parts = docs.select("text").mapInPandas(run, schema)
+    parts = docs.select("text").mapInPandas(released(run), schema)
     # two levels of groups: none holds more than about the root of the number of tasks
     salts = max(1, int(parts.rdd.getNumPartitions() ** 0.5))
     some = parts.withColumn("salt", F.spark_partition_id() % salts).groupBy("i", "salt").applyInPandas(add, schema)
@@ -350,7 +350,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model) -> DataFrame:
                 hs.append(hashes[p]), tf.append(n.astype(np.int32))
             yield pd.DataFrame({"doc_id": b["doc_id"], **rows, "h": hs, "tf": tf})
 
-    local = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_tokens long, common long, logs double, moves double, h array<long>, tf array<int>")
+    local = docs.select("doc_id", "text").mapInPandas(released(run), f"doc_id {kind}, n_tokens long, common long, logs double, moves double, h array<long>, tf array<int>")
     local = staged(local.withColumn("rid", F.monotonically_increasing_id()), "lm-local")
     rare = local.select("rid", F.explode(F.arrays_zip("h", "tf")).alias("x")).select("rid", "x.h", "x.tf")
     met = rare.join(counts.select("h", "n"), "h")

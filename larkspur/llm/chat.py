@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 #: Where the vocabulary is; a parameter of every function here.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The public pattern by which this vocabulary splits text before merging.
@@ -159,7 +161,7 @@ def format_turns(conversations: DataFrame, ranks: dict[bytes, int]) -> DataFrame
             yield pd.DataFrame({"conv_id": b["conv_id"], "turn": b["turn"], "learnt": b["role"] == LEARNT, "token_ids": ids, "head": heads, "formatted": shown})
 
     turn = conversations.schema["turn"].dataType.simpleString()
-    encoded = rows.mapInPandas(encode, f"conv_id {kind}, turn {turn}, learnt boolean, token_ids array<int>, head int, formatted string")
+    encoded = rows.mapInPandas(released(encode), f"conv_id {kind}, turn {turn}, learnt boolean, token_ids array<int>, head int, formatted string")
     ordered = encoded.repartition("conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "formatted")
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,7 +178,7 @@ def format_turns(conversations: DataFrame, ranks: dict[bytes, int]) -> DataFrame
                 k, at = k + 1, at + n
             yield pd.DataFrame({"conv_id": b["conv_id"], "place": places, "token_ids": b["token_ids"], "first_token": firsts, "mask": masks, "formatted": b["formatted"]})
 
-    return ordered.mapInPandas(place, f"conv_id {kind}, place int, token_ids array<int>, first_token long, mask array<byte>, formatted string")
+    return ordered.mapInPandas(released(place), f"conv_id {kind}, place int, token_ids array<int>, first_token long, mask array<byte>, formatted string")
 
 
 def read_back(turns: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -223,7 +225,7 @@ def read_back(turns: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pd.DataFrame([told(state)], columns=cols)
 
     return turns.mapInPandas(
-        fold, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long, agree boolean"
+        released(fold), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, loss_tokens long, agree boolean"
     )
 
 

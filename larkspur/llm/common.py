@@ -121,6 +121,25 @@ def cached(fn):
     return call
 
 
+def released(run):
+    """run for mapInPandas, after which an idle worker gives the memory that it has used back to the system."""
+
+    def call(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return call
+
+
 #: Bits of a Bloom filter; its size does not grow with what it holds (it only lets more through).
 _BLOOM_BITS = 25
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays_of, cached, mix64, staged
+from .common import arrays_of, cached, mix64, released, staged
 
 #: Steps kept of each stretch [2^k, 2^(k+1)) of the walk, k >= 6; shorter stretches are kept whole.
 SAMPLES = 64
@@ -206,7 +206,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = list(b[text_col])
             yield pd.DataFrame({id_col: b[id_col].values, "n_chars": [len(t or "") for t in texts], "fingerprint": fingerprint_of(texts)})
 
-    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, n_chars long, fingerprint string")
+    return docs.select(id_col, text_col).mapInPandas(released(run), f"{id_col} {kind}, n_chars long, fingerprint string")
 
 
 def band_keys(fp: str, bands: int = 12, width: int = 6) -> list[str]:
@@ -294,7 +294,7 @@ def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5) -> D
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "edits": d})[ok]
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return close.join(ta, "a").join(tb, "b").mapInPandas(verify, f"a {kind}, b {kind}, edits int")
+    return close.join(ta, "a").join(tb, "b").mapInPandas(released(verify), f"a {kind}, b {kind}, edits int")
 
 
 def edited(text: str, follower: str) -> str:
@@ -372,4 +372,4 @@ def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
                 yield finish(rows)
             last = rows[-1]
 
-    return dealt.mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInPandas(released(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

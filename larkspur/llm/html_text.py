@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import released
+
 # Fixed values of HTML: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
@@ -557,7 +559,7 @@ def main_text(pages: DataFrame, forest: Forest) -> DataFrame:
             texts = [t for k in range(0, len(b), 100) for t in extract(list(b["html"].iloc[k : k + 100]), f)]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInPandas(released(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
 
 
 def op8_html(spark, sf_dir: str) -> DataFrame:

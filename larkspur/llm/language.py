@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, crc_part, small_batches
+from .common import Adam, crc_part, released, small_batches
 
 UNKNOWN = "und"
 
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
             langs, score = net.predict(list(b["text"]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": langs, "score": score})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInPandas(released(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
@@ -241,4 +241,4 @@ def keep_identified(docs: DataFrame, net: ByteNet) -> DataFrame:
             langs, _ = net.predict(list(b["text"]))
             yield b[[x != UNKNOWN for x in langs]]
 
-    return docs.select(names).mapInPandas(run, docs.schema)
+    return docs.select(names).mapInPandas(released(run), docs.schema)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, crc_part, small_batches
+from .common import Adam, crc_part, released, small_batches
 
 #: Everything that is not an ASCII letter or a byte of a longer character separates words.
 _SPLIT = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -324,7 +324,7 @@ def score_texts(docs: DataFrame, net: ToxicNet) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": held.scores(list(b["text"])).astype(float)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInPandas(released(run), f"doc_id {kind}, score double")
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
