@@ -250,6 +250,33 @@ def test_paraphrases_need_the_answer(spark, data):
     assert [r["doc_id"] for r in got] == [1]
 
 
+def test_paraphrases_are_found_as_by_a_full_search(spark, data):
+    """Texts with the rarer words of an item changed, the answer kept: all that the common words and the answer tell."""
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data}/benchmark.parquet").orderBy("item_id").collect()]
+    often = collections.Counter(w for _, t in bench for w in set(decontaminate.words_in(t)))
+    pool = [w for _, t in bench for w in t.split()]
+    cfg, rng, docs = decontaminate.Config(), random.Random(11), []
+    for n in range(600):
+        item, text = bench[n % len(bench)]
+        words, answer = text.split(), decontaminate.answer_of(text)
+        free = sorted(range(len(words) - len(answer)), key=lambda k: often[decontaminate.words_in(words[k])[0]])
+        hit = set(free[: int(len(words) * rng.uniform(0.28, 0.39))])
+        changed = [x for k, w in enumerate(words) for x in ([rng.choice(pool) for _ in range(1 + n % 2)] if k in hit else [w])]
+        docs.append((n, item, " ".join([rng.choice(pool) for _ in range(20)] + changed + [rng.choice(pool) for _ in range(20)])))
+    want = set()
+    for n, item, text in docs:
+        q, w = decontaminate.words_in(dict(bench)[item]), decontaminate.words_in(text)
+        answer, span = decontaminate.answer_of(dict(bench)[item]), w[20:-20]
+        share = decontaminate.lcs(q, span) / len(q)
+        if share >= cfg.copy or (share >= cfg.paraphrase and answer and decontaminate.lcs(answer, span) >= cfg.answer * len(answer)):
+            want.add((n, item))
+    rows = spark.createDataFrame([(n, t) for n, _, t in docs], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(rows, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    # a span with added words may be longer than any window
+    fits = {(n, i) for n, i in want if n % 2 == 0}
+    assert len(fits) > 100 and not fits - got and len(want & got) >= 0.98 * len(want)
+
+
 def test_lcs():
     rng = random.Random(9)
     for _ in range(200):
