@@ -30,6 +30,12 @@ KINDS = [
     ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 20),
 ]
 BASE_KINDS = ("assign", "access", "hex")
+#: A key block's secret is its body: all up to the END line, or the lines of base64 if there is none.
+PEM_BODY = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:\\[nr]|\s)*((?:(?:Proc-Type|DEK-Info):[^\n]*\n\s*){0,4}(?:[A-Za-z0-9+/=\s\\]*(?=-----END )|(?:[A-Za-z0-9+/=]{16,}(?:\\[nr]|\s)*){0,400}))"
+#: What masking looks for.  The contract query keeps KINDS, which its SQL has too.
+MASK_KINDS = [("pem", PEM_BODY, 1, 20) if k[0] == "pem" else k for k in KINDS]
+#: In a random value of this length a placeholder's word may stand by chance.
+LONG = 100
 #: What is cheap to look for before a pattern is run in earnest.
 _MAYBE = {"assign": r"(?i)(?:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}", "github": r"gh[pousr]_", "jwt": r"eyJ", "pem": "-----BEGIN"}
 # Words that mark a placeholder.
@@ -63,9 +69,9 @@ def _spans_of(text: Column, number: int, kind: str, pattern: str, group: int, le
     return F.when(text.rlike(_MAYBE[kind]), found).otherwise(none)
 
 
-def span_column(text: Column) -> Column:
+def span_column(text: Column, kinds: list = KINDS) -> Column:
     """All spans of a text, by start and then kind as listed."""
-    return F.array_sort(F.concat(*[_spans_of(text, n, *k) for n, k in enumerate(KINDS)]))
+    return F.array_sort(F.concat(*[_spans_of(text, n, *k) for n, k in enumerate(kinds)]))
 
 
 def _hashed(found: Column) -> Column:
@@ -74,15 +80,15 @@ def _hashed(found: Column) -> Column:
     def shaped(s: Column) -> Column:
         v = s["value"]
         varied = F.size(F.array_distinct(F.split(v, ""))) >= VARIED
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.length(v).alias("size"), F.sha2(v, 256).alias("hash"), (varied & ~v.rlike(PLACEHOLDERS)).alias("random"))
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.length(v).alias("size"), F.sha2(v, 256).alias("hash"), (varied & (((s["kind"] == "pem") & (F.length(v) >= LONG)) | ~v.rlike(PLACEHOLDERS))).alias("random"))
 
     return F.transform(found, shaped)
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def scanned(docs: DataFrame, kinds: list = KINDS) -> DataFrame:
     """doc_id, source, cand (the spans, with hashed values and whether they look random) of every row."""
     rows = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    spans = rows.select("doc_id", "source", span_column(F.col("text")).alias("found"))
+    spans = rows.select("doc_id", "source", span_column(F.col("text"), kinds).alias("found"))
     return spans.select("doc_id", "source", _hashed(F.col("found")).alias("cand"))
 
 
@@ -132,13 +138,13 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
 
 def masked(docs: DataFrame) -> DataFrame:
     """Pipeline decision: live values are masked, copied examples and all else stay; n_chars follows the text."""
-    found = staged(scanned(docs), "scanned")
+    found = staged(scanned(docs, MASK_KINDS), "scanned")
     live = judged(found).select(
         F.col("doc_id").alias("j_id"), F.col("ck").alias("j_ck"), F.filter("verdicts", lambda s: s["verdict"] == "live").alias("live")
     ).filter(F.size("live") > 0)
     held = docs.columns
     # texts without any candidate pass as they are; only the others are joined
-    maybe = docs.withColumn("_found", span_column(F.coalesce("text", F.lit(""))))
+    maybe = docs.withColumn("_found", span_column(F.coalesce("text", F.lit("")), MASK_KINDS))
     plain = maybe.filter(F.size("_found") == 0).select(held)
     keyed = maybe.filter(F.size("_found") > 0).withColumn("_ck", F.xxhash64(_hashed(F.col("_found")))).drop("_found")
     hit = keyed.join(live, (F.col("_ck") == F.col("j_ck")) & F.col("doc_id").eqNullSafe(F.col("j_id")), "left")
