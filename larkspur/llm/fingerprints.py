@@ -259,17 +259,46 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return limit + 1
 
 
-def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5) -> DataFrame:
+def text_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, h (the text's hash), name (its class's smallest id) of every row whose text is not empty."""
+    rows = docs.select("doc_id", F.sha2("text", 256).alias("h")).filter(F.length("text") > 0)
+    return rows.join(rows.groupBy("h").agg(F.min("doc_id").alias("name")), "h").select("doc_id", "h", "name")
+
+
+def _across(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Pairs of texts (h, fingerprint, comp, side) in different components, alike by least; side 0 meets side 1,
+    side 2 itself."""
+    fps = [np.frombuffer(f.encode(), np.uint8) for f in pdf["fingerprint"]]
+    lens = np.array([len(f) for f in fps])
+    grid = np.zeros((len(fps), int(lens.max())), np.uint8)  # 0 is no digit
+    for r, f in enumerate(fps):
+        grid[r, : len(f)] = f
+    w = _weights(grid.shape[1])
+    upto = np.concatenate([[0.0], np.cumsum(w)])
+    h, comp, side = pdf["h"].to_numpy(), pdf["comp"].to_numpy(), pdf["side"].to_numpy()
+    got = []
+    for r in np.flatnonzero(side != 1):
+        other = np.flatnonzero((side == 1 if side[r] == 0 else np.arange(len(side)) > r) & (comp != comp[r]))
+        if len(other):
+            same = ((grid[other, : lens[r]] == grid[r, : lens[r]]) @ w[: lens[r]]) / upto[np.maximum(lens[other], lens[r])]
+            # a wide filter: like() has the last word
+            got += [(h[r], h[o]) for o in other[(same - 1 / 16) / (15 / 16) >= least - 1e-6]]
+    return pd.DataFrame([(min(p), max(p)) for p in got], columns=["a", "b"])
+
+
+def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5, chunk: int = 1024) -> DataFrame:
     """Pairs (a, b) of different texts within max_edits edits a character, with their distance.
 
-    Equal texts are one class, named by its smallest id (a null id never names one if there is another);
-    pairs are between class representatives.  In a bucket of a band each text is paired with the bucket's
-    first one, so a bucket of any size gives as many candidates as it has members; different bands have
-    different first ones."""
+    Equal texts are one class, named by its smallest id (a null id never names one if there is another;
+    text_classes tells the members); pairs are between classes, which may share a name.  In a bucket of a band
+    each text is first paired with the bucket's first one.  Where that leaves a bucket in several components,
+    its members of different components are all compared, by pairs of chunks: near texts that share a bucket
+    are always linked.  The second way's work grows with the square of such a bucket."""
+    from .neardup import components
+
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") > 0)
-    reps = base.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    firsts = staged(base.join(reps.drop("h").distinct(), "doc_id").dropDuplicates(["doc_id"]), "edit-texts")
-    fps = staged(fingerprints(firsts), "edit-prints")
+    firsts = staged(base.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "edit-texts")
+    fps = staged(fingerprints(firsts, "h"), "edit-prints")
 
     @F.pandas_udf("array<string>")
     def keys(fp: pd.Series) -> pd.Series:
@@ -279,13 +308,6 @@ def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5) -> D
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
 
-    banded = fps.select("doc_id", F.explode(keys("fingerprint")).alias("key"))
-    lead = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = banded.join(lead, "key").filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    fa, fb = (fps.select(F.col("doc_id").alias(c), F.col("fingerprint").alias(f"f{c}")) for c in "ab")
-    close = pairs.join(fa, "a").join(fb, "b").filter(like("fa", "fb") >= least).select("a", "b")
-    ta, tb = (firsts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lim = [int(max_edits * max(len(s), len(t))) for s, t in zip(b["ta"], b["tb"], strict=True)]
@@ -293,8 +315,35 @@ def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5) -> D
             ok = np.array([x <= y for x, y in zip(d, lim, strict=True)], bool)
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "edits": d})[ok]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return close.join(ta, "a").join(tb, "b").mapInPandas(released(verify), f"a {kind}, b {kind}, edits int")
+    def verified(pairs: DataFrame) -> DataFrame:
+        fa, fb = (fps.select(F.col("h").alias(c), F.col("fingerprint").alias(f"f{c}")) for c in "ab")
+        close = pairs.join(fa, "a").join(fb, "b").filter(like("fa", "fb") >= least).select("a", "b")
+        ta, tb = (firsts.select(F.col("h").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return close.join(ta, "a").join(tb, "b").mapInPandas(released(verify), "a string, b string, edits int")
+
+    banded = staged(fps.select("h", F.explode(F.array_distinct(keys("fingerprint"))).alias("key")), "edit-bands")
+    lead = banded.groupBy("key").agg(F.min("h").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = banded.join(lead, "key").filter("h <> lead").select(F.col("lead").alias("a"), F.col("h").alias("b")).distinct()
+    linked = staged(verified(pairs), "edit-linked")
+
+    comp = components(linked.select("a", "b")).select(F.col("node").alias("h"), "comp")
+    told = staged(banded.join(comp, "h", "left").withColumn("comp", F.coalesce("comp", "h")), "edit-comps")
+    apart = told.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
+    apart = apart.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
+    mine = told.join(apart, "key").withColumn("i", F.pmod(F.xxhash64("h"), F.col("c")).cast("int"))
+    # each member meets every chunk of its bucket: as the first of the two, as the second, or in its own
+    dealt = mine.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select(
+        "h", "key", "comp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"),
+        F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1).alias("side"),
+    )
+    sets = dealt.join(fps.select("h", "fingerprint"), "h").groupBy("key", "lo", "hi")
+    more = sets.applyInPandas(lambda pdf: _across(pdf, least), "a string, b string").distinct()
+    links = linked.unionByName(verified(more.join(linked, ["a", "b"], "left_anti")))
+
+    na, nb = (firsts.select(F.col("h").alias(c), F.col("doc_id").alias(f"n{c}")) for c in "ab")
+    named = links.join(na, "a").join(nb, "b")
+    lower = F.col("nb").isNull() | (F.col("na") <= F.col("nb"))
+    return named.select(F.when(lower, F.col("na")).otherwise(F.col("nb")).alias("a"), F.when(lower, F.col("nb")).otherwise(F.col("na")).alias("b"), "edits")
 
 
 def edited(text: str, follower: str) -> str:

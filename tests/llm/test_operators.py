@@ -80,6 +80,21 @@ def test_edit_distance_and_near_texts(spark):
     assert [(r["a"], r["b"]) for r in got] == [(1, 2)] and got[0]["edits"] == plain_distance(base, rows[1][1])
 
 
+@pytest.mark.parametrize("chunk", [1024, 2])
+def test_near_texts_meet_under_an_unlike_lead(spark, monkeypatch, chunk):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
+    near = texts[2][:200] + "XY" + texts[2][203:]
+    # one bucket for all, led by the least id or by the least hash: neither is like the two near texts
+    monkeypatch.setattr(fingerprints, "band_keys", lambda fp: ["all"])
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, near), (5, texts[3]), (3, texts[3]), (None, near), (None, texts[1] + "!")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["a"], r["b"], r["edits"]) for r in fingerprints.near_texts(frame, chunk=chunk).collect()), key=str)
+    assert got == [(2, None, 1), (3, 4, plain_distance(texts[2], near))]
+    names = {(r["doc_id"], r["name"]) for r in fingerprints.text_classes(frame).collect()}
+    assert {(4, 4), (None, 4), (5, 3), (None, None)} <= names
+
+
 # -- 2
 
 
