@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,18 +141,45 @@ def released(run):
     return call
 
 
-#: Bits of a Bloom filter; its size does not grow with what it holds (it only lets more through).
-_BLOOM_BITS = 25
+def settle(spark: SparkSession) -> None:
+    """Give back what finished steps have left behind.
+
+    Shuffle files and broadcasts go when the driver's garbage is collected, which a driver with room to spare does
+    far too seldom for the executors' disks; freed native memory (of the JVM's compilers, mostly) stays with the
+    allocator until it is told to return it."""
+    import gc
+
+    gc.collect()
+    jvm = spark.sparkContext._jvm
+    jvm.java.lang.System.gc()
+    gateway = spark.sparkContext._gateway
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server.invoke(name, "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(jvm.java.lang.String, 0))
+    except Py4JError:  # not every JVM can
+        pass
+
+
+#: Bits of a Bloom filter for each id that it holds, and the most bits of a filter (32 MB).
+_BLOOM_EACH, _BLOOM_BITS = 12, 28
 
 
 def bloom_test(ids: DataFrame, col: str):
-    """A column expression maker: whether an id column's value may be among ids[col] (never wrongly no)."""
+    """A column expression maker: whether an id column's value may be among ids[col] (never wrongly no).
+
+    The filter is sized by the number of ids.  Where 32 MB are too few for them (over some 20 million), every value
+    may be among them: rows then meet the ids in the join that follows, as without a filter."""
     spark = ids.sparkSession
-    size = (1 << _BLOOM_BITS) // 8
+    many = ids.count()
+    bits_n = max(16, (many * _BLOOM_EACH - 1).bit_length()) if many else 16
+    if bits_n > _BLOOM_BITS:
+        return lambda name: F.lit(True)
+    size = (1 << bits_n) // 8
 
     def places(h: np.ndarray) -> list[np.ndarray]:
         with np.errstate(over="ignore"):
-            return [((h * np.uint64(m)) >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+            return [((h * np.uint64(m)) >> np.uint64(64 - bits_n)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
     def fill(batches):
         bits = np.zeros(size, np.uint8)
@@ -160,7 +188,8 @@ def bloom_test(ids: DataFrame, col: str):
                 np.bitwise_or.at(bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
         yield pd.DataFrame({"bits": [bits.tobytes()]})
 
-    parts = ids.select(F.xxhash64(col).alias("h")).coalesce(6).mapInPandas(fill, "bits binary")
+    # a task's part has the filter's size: few tasks while the ids are few, more as they grow
+    parts = ids.select(F.xxhash64(col).alias("h")).coalesce(max(6, many // 1_000_000)).mapInPandas(fill, "bits binary")
     bits = np.zeros(size, np.uint8)
     for r in parts.toLocalIterator():
         bits |= np.frombuffer(r["bits"], np.uint8)
@@ -177,6 +206,11 @@ def bloom_test(ids: DataFrame, col: str):
     return lambda name: maybe(F.xxhash64(name))
 
 
+def hash_below(share: float, *cols: str):
+    """Whether a 64-bit hash of the columns is among the lowest such share of all hashes: fine enough for any table."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 1) < F.lit(min(int(share * 2.0**63), 2**63 - 1))
+
+
 def narrowed(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """The rows of df whose col is among ids[col], and a few others: a cheap filter before a join, so that rows
     without a partner (and their texts) do not move.  Null ids may go."""
