@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, crc_part, released, small_batches
+from .common import Adam, crc_part, hash_below, released, small_batches
 
 UNKNOWN = "und"
 
@@ -111,23 +111,22 @@ class ByteNet:
         return langs, score
 
 
-def _windows_of(raw: bytes, size: int, many: int, rng: np.random.Generator) -> list[bytes]:
-    if len(raw) <= size:
+def _windows_of(raw: bytes, size: int, rng: np.random.Generator) -> list[bytes]:
+    if len(raw) < size:
         return [raw]
-    starts = rng.integers(0, len(raw) - size + 1, many)
     # short pieces too, so that one-word texts are not strange to the network
-    return [raw[s : s + size] for s in starts] + [raw[starts[0] : starts[0] + int(rng.integers(8, size))]]
+    return [raw[:size], raw[: int(rng.integers(8, size))]] if rng.random() < 0.4 else [raw[:size]]
 
 
 def train_network(texts: list[str], labels: list[str], cfg: Config = Config()) -> ByteNet:
-    """Fit on labelled texts (already sampled); the same input gives the same network."""
+    """Fit on labelled windows (of about cfg.window characters); the same input gives the same network."""
     langs = sorted(set(labels))
     rng = np.random.default_rng(cfg.seed)
     xs, ys = [], []
     for text, lab in zip(texts, labels, strict=True):
         if not text or not any(map(str.isalpha, text)):
             continue
-        for piece in _windows_of(text.encode("utf-8", "replace"), cfg.window, cfg.windows_per_text, rng):
+        for piece in _windows_of(text.encode("utf-8", "replace"), cfg.window, rng):
             xs.append(np.frombuffer(piece.ljust(cfg.window), np.uint8))
             ys.append(langs.index(lab))
     if not xs:
@@ -182,29 +181,31 @@ def train_network(texts: list[str], labels: list[str], cfg: Config = Config()) -
 
 
 def training_sample(docs: DataFrame, cfg: Config = Config()) -> tuple[list[str], list[str]]:
-    """At most cfg.texts_per_language labelled texts of each language whose id's crc32 mod 5 is not 0.
+    """Windows of at most cfg.texts_per_language labelled texts of each language whose id's crc32 mod 5 is not 0.
 
-    Which ones is decided by a hash of the id; every language has its own share, so none is missed."""
+    Which texts is decided by a 64-bit hash; every language has its own share, so none is missed.  A text gives
+    windows from hashed places all over it (a text no longer than a window gives itself), the driver gets no more."""
     ok = docs.select("doc_id", "text", "lang").filter((crc_part("doc_id", 5) != 0) & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = {r["lang"]: r["n"] for r in ok.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], []
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     keep = F.lit(False)
     for lang, n in sorted(counts.items()):
-        share = min(1.0, 1.3 * cfg.texts_per_language / n)
-        keep = keep | ((F.col("lang") == lang) & (h < F.lit(int(share * 1_000_000) + 1)))
-    # only a few windows of each text are learnt from; the driver gets a slice around a hashed place
-    need = cfg.window * (cfg.windows_per_text + 1)
-    start = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - F.lit(need), F.lit(1))) + 1
-    rows = ok.filter(keep).select("lang", F.xxhash64("doc_id").alias("h"), F.substr("text", start.cast("int"), F.lit(need)).alias("text")).collect()
+        keep = keep | ((F.col("lang") == lang) & hash_below(1.3 * cfg.texts_per_language / n, "doc_id", "text"))
+    # a window has cfg.window bytes, which are as many characters at most
+    room = F.greatest(F.length("text") - F.lit(cfg.window - 1), F.lit(1))
+    pieces = F.transform(F.sequence(F.lit(1), F.lit(cfg.windows_per_text)), lambda k: F.substr("text", (F.pmod(F.xxhash64("doc_id", k), room) + 1).cast("int"), F.lit(cfg.window)))
+    pieces = F.when(F.length("text") <= cfg.window, F.array("text")).otherwise(pieces)
+    picked = ok.filter(keep).select("lang", F.xxhash64("doc_id", "text").alias("h"), pieces.alias("pieces"))
+    # a bound for tables whose rows are nearly all the same, too
+    rows = picked.orderBy("h", "lang").limit(2 * cfg.texts_per_language * len(counts)).collect()
     taken: dict[str, int] = {}
     texts, labels = [], []
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
+    for r in sorted(rows, key=lambda r: (r["lang"], r["h"])):
         if taken.get(r["lang"], 0) < cfg.texts_per_language:
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-            texts.append(r["text"])
-            labels.append(r["lang"])
+            texts += r["pieces"]
+            labels += [r["lang"]] * len(r["pieces"])
     return texts, labels
 
 
@@ -231,14 +232,24 @@ def op9_language(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_part("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, net: ByteNet) -> DataFrame:
-    """Pipeline decision: documents without any identifiable language go, all others stay as they are."""
+def keep_identified(docs: DataFrame, net: ByteNet, margin: float = 0.0) -> DataFrame:
+    """Pipeline decision, by the network's answer: a document stays if the network's best language scores so far above
+    an even guess (0: as an even guess, 1: certain), and its name is written to lang where that is null.  Texts that
+    show no language (null, or without a letter) have no answer and go.  A network that has learnt nothing decides
+    nothing: then all documents stay."""
+    if not net.langs:
+        return docs
     small_batches(docs.sparkSession)
     names = docs.columns
+    even = 1 / len(net.langs)
+    least = even + margin * (1 - even) - 1e-9
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            langs, _ = net.predict(list(b["text"]))
-            yield b[[x != UNKNOWN for x in langs]]
+            langs, score = net.predict(list(b["text"]))
+            told = pd.Series(langs, index=b.index, dtype=object)
+            if "lang" in b:
+                b = b.assign(lang=b["lang"].where(b["lang"].notna(), told))
+            yield b[(told != UNKNOWN) & (score >= least)]
 
     return docs.select(names).mapInPandas(released(run), docs.schema)
