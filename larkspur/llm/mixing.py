@@ -113,9 +113,9 @@ def streams(rows: DataFrame) -> DataFrame:
     return placed.select("rid", "sid", (hi - F.col("size")).alias("lo"), hi.alias("hi"))
 
 
-def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows with rid, goals and size; schedule; taken words by rid) of docs(doc_id, text, source)."""
-    sizes = staged(sized(docs).withColumn("rid", F.monotonically_increasing_id()), "sizes")
+def mixed(sizes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with rid, goals and size; schedule; rid, slot, first, words of every cut) of a staged table of
+    doc_id, source, size, rid."""
     # repeated runs must agree, however rows are dealt: the id names a row, its number among equal ids the rest
     same = Window.partitionBy("doc_id", "source", "size").orderBy("rid")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -127,17 +127,37 @@ def mixed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     first = F.floor(F.col("lo") / BLOCK)
     last = F.floor((F.col("hi") - 1) / BLOCK)
     pieces = streams(rows).withColumn("rank", F.explode(F.sequence(first, last)))
-    part = F.least("hi", (F.col("rank") + 1) * BLOCK) - F.greatest("lo", F.col("rank") * BLOCK)
-    got = pieces.join(plan, ["sid", "rank"]).select("rid", "slot", part.alias("words"))
+    begin = F.greatest("lo", F.col("rank") * BLOCK)
+    part = F.least("hi", (F.col("rank") + 1) * BLOCK) - begin
+    got = pieces.join(plan, ["sid", "rank"]).select("rid", "slot", (begin - F.col("lo")).alias("first"), part.alias("words"))
     return rows, plan, got
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
-    rows, _, got = mixed(docs)
+def _taken(rows: DataFrame, got: DataFrame) -> DataFrame:
     taken = got.groupBy("rid").agg(F.sum("words").alias("taken"))
     out = rows.join(taken, "rid", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("rid", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words the mix takes, repeats counted) of every row."""
+    rows, _, got = mixed(staged(sized(docs).withColumn("rid", F.monotonically_increasing_id()), "sizes"))
+    return _taken(rows, got).drop("rid")
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """What a trainer reads: doc_id, source, text, size, source_size, target, taken and blocks of every row.
+
+    blocks tells which words of the text each slot of the mix takes: struct<slot, first, words>, by slot and first
+    word; putting all blocks in the order of their slots gives the mix.  A row that the mix leaves out has none."""
+    numbered = staged(docs.select("doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id()), "mix-texts")
+    count = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
+    rows, _, got = mixed(staged(numbered.select("doc_id", "source", count.alias("size"), "rid"), "sizes"))
+    # a document has a bounded number of blocks: thrice its size in words
+    blocks = got.groupBy("rid").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("slot", "first", "words"))).alias("blocks"))
+    out = rows.select("rid", "size", "source_size", "target").join(blocks, "rid", "left").join(numbered, "rid")
+    none = F.array().cast(dict(blocks.dtypes)["blocks"])
+    return out.select("doc_id", "source", "text", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("blocks", none).alias("blocks"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
@@ -145,12 +165,6 @@ def op6_mixing(spark, sf_dir: str) -> DataFrame:
     return mixed_rows(table(spark, sf_dir, "documents"))
 
 
-def mixed_order(docs: DataFrame) -> DataFrame:
-    """slot, doc_id, words: the mix itself, in schedule order; what each slot cuts out of which document."""
-    rows, _, got = mixed(docs)
-    return got.join(rows.select("rid", "doc_id"), "rid").select("slot", "doc_id", "words")
-
-
 def _oracle() -> str:
     """The contract query in DuckDB SQL: the same targets, grid points and hashed orders; what a source's slots
     take is the beginning of its stream."""
