@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,17 +31,27 @@ from .common import released
 
 # Fixed values of HTML: elements by how they are parsed and shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math object".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: What stands in these is no markup; a script or style that never ends takes the rest of the page with it.
+RAW = frozenset("script style textarea title iframe template".split())
+ENDLESS = frozenset("script style".split())
+#: Drawings and formulas: what is in them belongs to the text around; their elements can close themselves.
+FOREIGN = frozenset("svg math".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math object q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul details figure".split())
 CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+#: Elements of a head; any other one ends it.
+HEAD = frozenset("base head html link meta noscript script style template title".split())
 #: Tags that the trees know one by one; others share a place.
 TAGS = "html body main article section div p h1 h2 h3 h4 ul ol li table tr td nav header footer aside form blockquote pre figure figcaption dl span a button select hr".split()
 _TAG_NO = {t: k for k, t in enumerate(TAGS)}
 ATTR_BUCKETS = 128
+#: Rows of features that are in memory at once.
+NODES = 16_384
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
+_ENDS = {t: re.compile(f"</{t}(?![^\\s/>])", re.I | re.A) for t in RAW}
 _ATTR = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
@@ -48,7 +59,7 @@ _SPACE = re.compile(r"[ \t\n\r\f\v\xa0]+")
 
 @dataclass
 class Page:
-    """Nodes in page order (parents first), and text runs (node, block, text)."""
+    """Nodes in page order (parents first), and text runs (node, block, text, whether in a link)."""
 
     tag: list[str] = field(default_factory=list)
     parent: list[int] = field(default_factory=list)
@@ -57,87 +68,165 @@ class Page:
     runs: list[tuple[int, int, str, bool]] = field(default_factory=list)
 
 
+def tokens(text: str) -> Iterator[tuple[str, str, str]]:
+    """("text", text, ""), ("open", name, attributes) and ("close", name, "") of a page, read once from the left.
+
+    A quote belongs to a value only after an equals sign; where a value never ends, quotes mean nothing from there on,
+    and where no tag can end any more, all that is left is text.  So no character is looked at often."""
+    at, n = 0, len(text)
+    since = 0  # of text that has not been given out
+    quotes = True
+    endless: set[str] = set()
+    while True:
+        lt = text.find("<", at)
+        if lt < 0:
+            break
+        if text.startswith("<!--", lt):
+            if lt > since:
+                yield "text", text[since:lt], ""
+            end = text.find("-->", lt + 2)
+            at = since = n if end < 0 else end + 3
+            continue
+        close = text.startswith("/", lt + 1)
+        name = _NAME.match(text, lt + 1 + close)
+        if not name and text[lt + 1 : lt + 2] not in ("!", "?") and not close:
+            at = lt + 1
+            continue
+        # to the end of the tag
+        stop = lt + 1 if not name else name.end()
+        while True:
+            m = _STOP.search(text, stop) if quotes and name else None
+            if not m or m[0] == ">":
+                break
+            stop = m.end()
+            if text[lt : m.start()].rstrip()[-1:] == "=" if m.start() - lt < 64 else text[m.start() - 64 : m.start()].rstrip()[-1:] == "=":
+                end = text.find(m[0], stop)
+                if end < 0:
+                    quotes = False
+                else:
+                    stop = end + 1
+        gt = m.start() if m else text.find(">", lt)
+        if gt < 0:
+            if quotes and name and text.find(">", lt) >= 0:
+                # every end that is left stands in a quoted value
+                quotes = False
+                continue
+            break
+        if lt > since:
+            yield "text", text[since:lt], ""
+        at = since = gt + 1
+        if not name:
+            continue
+        low = name[0].lower()
+        attrs = text[name.end() : gt]
+        if low in RAW and not close:
+            if low == "iframe" and attrs.endswith("/") or low in endless:
+                continue
+            end = _ENDS[low].search(text, at)
+            if end:
+                gt = text.find(">", end.end())
+                at = since = n if gt < 0 else gt + 1
+            elif low in ENDLESS:
+                at = since = n
+            else:
+                endless.add(low)
+            yield "open", low, ""
+            continue
+        yield ("close", low, "") if close else ("open", low, attrs)
+    if since < n:
+        yield "text", text[since:], ""
+
+
 def parse(source: str | None) -> Page:
     page = Page()
+    known: dict[str, tuple[int, ...]] = {}  # equal attributes are read once
+
+    def hashed(attrs: str) -> tuple[int, ...]:
+        found: set[int] = set()
+        for m in _ATTR.finditer(attrs):
+            value = (m[2] or m[3] or m[4] or "").lower()
+            found.update(zlib.crc32(t.encode()) % ATTR_BUCKETS for t in _TOKEN.findall(value))
+        return tuple(found)
 
     def add(tag: str, parent: int, attrs: str) -> int:
         page.tag.append(tag)
         page.parent.append(parent)
         page.depth.append(page.depth[parent] + 1 if parent >= 0 else 0)
-        tokens: set[int] = set()
-        if attrs and "=" in attrs:
-            for m in _ATTR.finditer(attrs):
-                value = (m[2] or m[3] or m[4] or "").lower()
-                tokens.update(zlib.crc32(t.encode()) % ATTR_BUCKETS for t in _TOKEN.findall(value))
-        page.attrs.append(tuple(tokens))
+        if "=" not in attrs:
+            page.attrs.append(())
+        else:
+            if attrs not in known:
+                known[attrs] = hashed(attrs)
+            page.attrs.append(known[attrs])
         return len(page.tag) - 1
 
     add("html", -1, "")
-    # open elements: name, node that their text belongs to, whether in a link
+    # open elements: name, node that their text belongs to, whether in a link; and how many of a name are open
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]
-    block, at, head = 0, 0, False
-    text = source or ""
-    lower = None
-    n = len(text)
-    while at < n:
-        m = _MARKUP.search(text, at)
-        if not m:
-            # a lone < is text
-            _add_text(page, stack, block, text[at:], head)
-            break
-        if m.start() > at:
-            _add_text(page, stack, block, text[at : m.start()], head)
-        at = m.end()
-        name = m[2]
-        if not name:
+    opened: Counter = Counter()
+    block, head = 0, False
+
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            opened[x[0]] -= 1
+        del stack[k:]
+
+    for kind, name, attrs in tokens(source or ""):
+        if kind == "text":
+            if not head and name:
+                _, node, link = stack[-1]
+                page.runs.append((node, block, name, link))
             continue
-        name = name.lower()
-        if m[1]:
+        if kind == "close":
             if name == "head":
                 head = False
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if any(x[0] not in INLINE for x in stack[k:]):
-                        block += 1
-                    del stack[k:]
-                    break
-            else:
-                if name == "p":
+            if opened[name]:
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
+                if any(x[0] not in INLINE for x in stack[k:]):
                     block += 1
+                cut(k)
+            elif name == "p":
+                block += 1
             continue
         if name == "head":
             head = True
             continue
-        if name in ("html", "body"):
+        if name not in HEAD:
             head = False
+        if name in ("html", "body"):
             if name == "body" and len(stack) == 1:
-                stack.append(("body", add("body", 0, m[3]), False))
+                stack.append(("body", add("body", 0, attrs), False))
+                opened["body"] += 1
             continue
         if name in RAW:
-            # skipped up to its end; without an end the rest is skipped
-            lower = lower if lower is not None else text.lower()
-            end = lower.find("</" + name, at)
-            if end < 0:
-                break
-            close = text.find(">", end)
-            at = n if close < 0 else close + 1
             continue
-        if name in CLOSES_P:
+        drawn = opened["svg"] + opened["math"]
+        if drawn and (name in CLOSES_P or name in CLOSES_SAME):
+            # text elements end a drawing that was left open
+            cut(next(k for k in range(1, len(stack)) if stack[k][0] in FOREIGN))
+            drawn = 0
+        if drawn or name in FOREIGN:
+            if not attrs.endswith("/"):
+                stack.append((name if name in FOREIGN else f"svg:{name}", *stack[-1][1:]))
+                opened[stack[-1][0]] += 1
+            continue
+        if name in CLOSES_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
         same = CLOSES_SAME.get(name)
-        if same:
+        if same and any(opened[t] for t in same):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in same:
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] in SCOPES[name]:
                     break
-        if name not in INLINE:
+        flows = name in INLINE or name == "noscript"
+        if not flows:
             block += 1
         own, link = stack[-1][1], stack[-1][2]
         if name == "br":
@@ -146,25 +235,20 @@ def parse(source: str | None) -> Page:
             if name not in INLINE:
                 block += 1
             continue
-        inline_plain = name in INLINE and not (name == "span" and "class" in m[3])
-        node = own if inline_plain else add(name, own, m[3])
-        if m[3].endswith("/") and name in INLINE:
+        inline_plain = name in INLINE and not (name == "span" and "class" in attrs)
+        node = own if inline_plain else add(name, own, attrs)
+        if attrs.endswith("/") and name in INLINE:
             continue
         stack.append((name, node, link or name == "a"))
+        opened[name] += 1
     return page
 
 
-def _add_text(page: Page, stack: list, block: int, text: str, head: bool) -> None:
-    if not head and text:
-        _, node, link = stack[-1]
-        page.runs.append((node, block, text, link))
-
-
 N_FEATURES = 26 + 3 * (len(TAGS) + 1) + ATTR_BUCKETS
 
 
-def features(page: Page) -> np.ndarray:
-    """A row for each node."""
+def feature_rows(page: Page) -> Iterator[np.ndarray]:
+    """A row for each node, in blocks of at most NODES rows."""
     n = len(page.tag)
     parent = page.parent
     own = np.zeros((n, 6))  # characters, words, link characters, sentence marks, runs, digits
@@ -189,20 +273,13 @@ def features(page: Page) -> np.ndarray:
     sub = own.copy()
     count = np.zeros((n, 6))  # nodes, paragraphs, items, form parts, headings, blocks with own text
     kids = np.zeros(n)
-    for v in range(n):
-        t = page.tag[v]
-        c = count[v]
-        c[0] += 1
-        if t == "p":
-            c[1] += 1
-        elif t in ("li", "option"):
-            c[2] += 1
-        elif t in ("form", "button", "select", "fieldset"):
-            c[3] += 1
-        elif t[:1] == "h" and t[1:].isdigit():
-            c[4] += 1
-        if own[v, 0]:
-            c[5] += 1
+    tags = np.array(page.tag)
+    count[:, 0] = 1
+    count[:, 1] = tags == "p"
+    count[:, 2] = np.isin(tags, ("li", "option"))
+    count[:, 3] = np.isin(tags, ("form", "button", "select", "fieldset"))
+    count[:, 4] = np.isin(tags, [f"h{k}" for k in range(10)])
+    count[:, 5] = own[:, 0] > 0
     index = np.zeros(n)
     same = np.zeros(n)
     last: dict[tuple[int, str], int] = {}
@@ -224,31 +301,53 @@ def features(page: Page) -> np.ndarray:
     par = np.maximum(np.array(parent), 0)
     chars = sub[:, 0]
     safe = np.maximum(chars, 1)
-    x = np.zeros((n, N_FEATURES), np.float32)
     cols = [
         np.log1p(chars), np.log1p(own[:, 0]), sub[:, 2] / safe, own[:, 2] / np.maximum(own[:, 0], 1), sub[:, 3] / np.maximum(sub[:, 1], 1), np.log1p(sub[:, 1]),
         chars / np.maximum(count[:, 0], 1), chars / total, chars / np.maximum(chars[par], 1), np.array(page.depth), index, kids[par] - index, same, kids,
         start / max(at, 1), stop / max(at, 1), np.log1p(count[:, 1]), np.log1p(count[:, 2]), np.log1p(count[:, 3]), np.log1p(count[:, 4]), np.log1p(count[:, 5]),
         own[:, 0] / safe, sub[:, 0] / np.maximum(sub[:, 1], 1), np.log1p(chars[par]), sub[par, 2] / np.maximum(chars[par], 1), np.log1p(total),
     ]
+    dense = np.empty((n, len(cols)), np.float32)
     for k, c in enumerate(cols):
-        x[:, k] = c
-    base = len(cols)
+        dense[:, k] = c
+    del cols, own, sub, count
     width = len(TAGS) + 1
-    number = [_TAG_NO.get(t, len(TAGS)) for t in page.tag]
+    number = np.array([_TAG_NO.get(t, len(TAGS)) for t in page.tag])
+    # as bits: the tags that stand anywhere above, the attributes of the node and of what is above
+    above, around, mine = [0] * n, [0] * n, [0] * n
+    known: dict[int, int] = {}  # equal masks are one object
+    tag_bit = [1 << k for k in range(width)]
+    numbers = number.tolist()
     for v in range(n):
-        x[v, base + number[v]] = 1
         p = parent[v]
         if p >= 0:
-            x[v, base + width + number[p]] = 1
-            # what stands anywhere above
-            above = slice(base + 2 * width, base + 3 * width)
-            x[v, above] = x[p, above]
-            x[v, base + 2 * width + number[p]] = 1
-            x[v, base + 3 * width :] = 0.5 * (x[p, base + 3 * width :] > 0)
-        for t in page.attrs[v]:
-            x[v, base + 3 * width + t] = 1
-    return x
+            m = above[p] | tag_bit[numbers[p]]
+            above[v] = known.setdefault(m, m)
+            m = around[p] | mine[p]
+            around[v] = known.setdefault(m, m)
+        if page.attrs[v]:
+            m = sum(1 << t for t in page.attrs[v])
+            mine[v] = known.setdefault(m, m)
+
+    def bits(masks: list[int], size: int) -> np.ndarray:
+        raw = b"".join(m.to_bytes(-(-size // 8), "little") for m in masks)
+        return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(masks), -1), axis=1, count=size, bitorder="little")
+
+    base = dense.shape[1]
+    for lo in range(0, n, NODES):
+        hi = min(lo + NODES, n)
+        x = np.zeros((hi - lo, N_FEATURES), np.float32)
+        x[:, :base] = dense[lo:hi]
+        rows = np.arange(hi - lo)
+        x[rows, base + number[lo:hi]] = 1
+        x[rows, base + width + number[par[lo:hi]]] = np.array(parent[lo:hi]) >= 0
+        x[:, base + 2 * width : base + 3 * width] = bits(above[lo:hi], width)
+        x[:, base + 3 * width :] = np.maximum(bits(mine[lo:hi], ATTR_BUCKETS), 0.5 * bits(around[lo:hi], ATTR_BUCKETS))
+        yield x
+
+
+def features(page: Page) -> np.ndarray:
+    return np.concatenate(list(feature_rows(page)))
 
 
 @dataclass
@@ -317,19 +416,20 @@ def decode(page: Page, logit: np.ndarray) -> np.ndarray:
     """Which nodes are kept: the likeliest joint choice.  A node is outside (what is below may be anything),
     kept (below it are kept nodes and dropped islands) or dropped (with all below)."""
     n = len(page.tag)
-    yes, no = -np.logaddexp(0, -logit), -np.logaddexp(0, logit)
-    kept, dropped, outside = yes.copy(), no.copy(), no.copy()
+    parent = page.parent
+    no = (-np.logaddexp(0, logit)).tolist()
+    kept, dropped, outside = (-np.logaddexp(0, -logit)).tolist(), no.copy(), no
     for v in range(n - 1, 0, -1):
-        p = page.parent[v]
-        kept[p] += max(kept[v], dropped[v])
-        dropped[p] += dropped[v]
-        outside[p] += max(kept[v], outside[v])
-    state = np.zeros(n, bool)
-    out = np.ones(n, bool)  # still outside
+        p, k, d, o = parent[v], kept[v], dropped[v], outside[v]
+        kept[p] += k if k >= d else d
+        dropped[p] += d
+        outside[p] += k if k >= o else o
+    state = [False] * n
+    out = [True] * n  # still outside
     state[0] = kept[0] > outside[0]
     out[0] = not state[0]
     for v in range(1, n):
-        p = page.parent[v]
+        p = parent[v]
         if state[p]:
             state[v], out[v] = kept[v] >= dropped[v], False
         elif out[p]:
@@ -337,7 +437,7 @@ def decode(page: Page, logit: np.ndarray) -> np.ndarray:
             out[v] = not state[v]
         else:
             out[v] = False
-    return state
+    return np.array(state, bool)
 
 
 def text_of(page: Page, keep: np.ndarray) -> str:
@@ -359,16 +459,30 @@ def text_of(page: Page, keep: np.ndarray) -> str:
 
 
 def extract(pages: list[str | None], forest: Forest) -> list[str]:
-    parsed = [parse(p) for p in pages]
-    if not parsed:
-        return []
-    x = np.concatenate([features(p) for p in parsed])
-    z = forest.logits(x)
-    out, at = [], 0
-    for p in parsed:
-        n = len(p.tag)
-        out.append(text_of(p, decode(p, z[at : at + n])))
-        at += n
+    """Main text of each page; so many pages go through the trees at once as make up NODES nodes."""
+    out: list[str] = []
+    held: list[Page] = []
+    rows: list[np.ndarray] = []
+
+    def close() -> None:
+        if held:
+            z, at = forest.logits(np.concatenate(rows)), 0
+            for p in held:
+                out.append(text_of(p, decode(p, z[at : at + len(p.tag)])))
+                at += len(p.tag)
+            held.clear(), rows.clear()
+
+    for source in pages:
+        page = parse(source)
+        if sum(map(len, rows)) + len(page.tag) > NODES:
+            close()
+        if len(page.tag) > NODES:
+            z = np.concatenate([forest.logits(x) for x in feature_rows(page)])
+            out.append(text_of(page, decode(page, z)))
+        else:
+            held.append(page)
+            rows.append(features(page))
+    close()
     return out
 
 
@@ -556,7 +670,7 @@ def main_text(pages: DataFrame, forest: Forest) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = Forest(*parts)
         for b in batches:
-            texts = [t for k in range(0, len(b), 100) for t in extract(list(b["html"].iloc[k : k + 100]), f)]
+            texts = extract(list(b["html"]), f)
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     return pages.select("page_id", "url", "html").mapInPandas(released(run), f"page_id {types['page_id']}, url {types['url']}, text string, n_chars long")
