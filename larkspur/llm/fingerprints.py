@@ -3,19 +3,22 @@
 A walk reads the text from the left: at step j it writes the character under it and moves on or stays, as
 a random bit of (j, character) says.  All texts share these bits, so two texts at a small edit distance
 walk together again soon after each edit, and the edit distance shows as the Hamming distance of what the
-walks wrote.  Of the walk, fixed steps are kept: all of the first 64, then so many of each doubling
-stretch.  A fingerprint is therefore short (it grows with the logarithm of the length), comparable for
-texts of any lengths, and equal for equal texts.  Banding takes fixed runs of sampled steps as keys;
-candidates are verified by the exact edit distance.
+walks wrote.  A fingerprint keeps two things of a walk.  Samples: what was written at fixed steps, all of the
+first 64, then so many of each doubling stretch; banding takes fixed runs of them as keys.  Counters: in every
+longer stretch each single step adds +1 or -1 to one of 32 counters, by a hash of the step and the character; the
+squared distance of two such rows of counters estimates on how many steps of the stretch the walks differ, and a
+single differing step shows (a checksum of the text tells what the counters miss).  A fingerprint grows with the logarithm of the length, is comparable for texts of any
+lengths, and equal for equal texts.  Candidates are verified by the exact edit distance.
 
 Defined results: null counts as the empty text; the empty text's fingerprint is the empty string, alike
 (1.0) to another empty one and unlike (0.0) to any other; repeated rows give repeated fingerprints; an
-empty table gives an empty result; other columns are never read.
+empty table gives an empty result; ids may have any type that has an order; other columns are never read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +26,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays_of, cached, mix64, released, staged
+from .common import arrays_of, cached, hash_below, mix64, released, staged
 
 #: Steps kept of each stretch [2^k, 2^(k+1)) of the walk, k >= 6; shorter stretches are kept whole.
 SAMPLES = 64
+#: Counters of each stretch that is not kept whole, from the first such level on.
+COUNTERS, FIRST = 32, 7
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 _SEED = 0x5EED
+#: The random bits repeat after so many steps.
+PERIOD = 1 << 16
+_CLASSES = 30
+#: Characters that are walked at a stretch: even at the longest stay they take less than a period.
+_CHUNK = 2048
 
 
 @cached
 def _steps(level: int) -> np.ndarray:
-    """The kept steps of stretch level, ascending; level 0 is step 0."""
+    """The kept steps of stretch level, ascending; level 0 is step 1."""
     lo, n = 1 << level, 1 << level
     if n <= SAMPLES:
         return np.arange(lo, lo + n)
@@ -42,118 +52,120 @@ def _steps(level: int) -> np.ndarray:
     return lo + np.arange(SAMPLES) * part + (arrays_of(_SEED + level, SAMPLES) % np.uint64(part)).astype(np.int64)
 
 
-def _kept_until(n_steps: int) -> np.ndarray:
-    got = [np.zeros(1, np.int64)]
-    level = 0
-    while (1 << level) < n_steps:
-        got.append(_steps(level))
-        level += 1
-    got = np.concatenate(got)
-    return got[got < n_steps]
+@cached
+def _stays() -> list[bytes]:
+    """For each of 30 classes of characters: how many steps a walk stays at one that it has reached at step j
+    (modulo the period; two periods in a row)."""
+    bits = mix64(np.arange(PERIOD, dtype=np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(34)
+    out = []
+    for c in range(_CLASSES):
+        moves = np.flatnonzero(np.tile((bits >> np.uint64(c)) & np.uint64(1), 3))
+        j = np.arange(2 * PERIOD)
+        stay = moves[np.searchsorted(moves, j)] - j + 1
+        out.append(np.minimum(stay, PERIOD // _CHUNK - 1).astype(np.uint8).tobytes())
+    return out
 
 
-_CLASSES = 30
-_BLOCK = 4096
-#: With fewer texts than this still walking, plain loops are quicker than numpy's fixed cost a step.
-_LOCKSTEP = 96
+@cached
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every code point: its class for the moves, the nibble that is written for it, and 32 random bits."""
+    mixed = mix64(np.arange(0x110000, dtype=np.uint64) + np.uint64(77))
+    return (mixed % np.uint64(_CLASSES)).astype(np.uint8), ((mixed >> np.uint64(32)) & np.uint64(15)).astype(np.uint8), (mixed >> np.uint64(8)).astype(np.uint32)
 
 
 @cached
-def _moves(block: int) -> np.ndarray:
-    """A random bit for each of 30 character classes, for every step of a block."""
-    return (mix64(np.arange(block * _BLOCK, (block + 1) * _BLOCK, dtype=np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(34)).astype(np.int64)
+def _step_bits() -> np.ndarray:
+    return (mix64(np.arange(PERIOD, dtype=np.uint64) + np.uint64(0xFADE)) >> np.uint64(16)).astype(np.uint32)
+
+
+def walk(codes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+    """The step after which the walk leaves each character (code points); known: these steps of the first ones."""
+    rows = _stays()
+    b = _classes()[0][codes].tobytes()
+    known = np.zeros(0, np.int64) if known is None else known
+    at = int(known[-1]) if len(known) else 0
+    out = [known]
+    for lo in range(len(known), len(b), _CHUNK):
+        j = first = at % PERIOD
+        got = []
+        add = got.append
+        for row in map(rows.__getitem__, b[lo : lo + _CHUNK]):
+            j += row[j]
+            add(j)
+        out.append(np.array(got, np.int64) + (at - first))
+        at += j - first
+    return np.concatenate(out)
+
+
+def _digits(level: int) -> int:
+    """Hex digits of a counter: enough for what the counters of like texts differ by (they are kept modulo 16^digits)."""
+    return 2 if level < 14 else 3 if level < 20 else 4
 
 
 @cached
-def _move_list(block: int) -> list[int]:
-    return _moves(block).tolist()
+def _kept(level: int) -> np.ndarray:
+    """All kept steps before stretch level."""
+    return np.concatenate([np.zeros(1, np.int64), *(_steps(k) for k in range(level))])
 
 
 @cached
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point: its class for the moves, and the nibble that is written for it."""
-    mixed = mix64(np.arange(0x110000, dtype=np.uint64) + np.uint64(77))
-    return (mixed % np.uint64(_CLASSES)).astype(np.uint8), ((mixed >> np.uint64(32)) & np.uint64(15)).astype(np.uint8)
-
-
-def _finish_alone(cls: np.ndarray, i: int, j: int, keep: np.ndarray, k: int) -> list[int]:
-    """Places of one text at the kept steps from the k-th on; the walk stands at i before step j."""
-    got: list[int] = []
-    n = len(cls)
-    tail = int(np.diff(keep[max(k - 1, 0) :], prepend=j).max(initial=1)) + 1
-    b = cls.tobytes() + bytes(tail)
-    while k < len(keep):
-        stop = int(keep[k])
-        while j < stop:
-            end = min(stop, (j // _BLOCK + 1) * _BLOCK)
-            for m in _move_list(j // _BLOCK)[j % _BLOCK : j % _BLOCK + end - j]:
-                i += (m >> b[i]) & 1
-            j = end
-        if i >= n:
-            break
-        got.append(i)
-        k += 1
+def _hex_words(width: int) -> np.ndarray:
+    return np.array([f"{v:0{width}x}" for v in range(16**width)])
+
+
+def print_of(codes: np.ndarray, ends: np.ndarray) -> str:
+    """The fingerprint of a text from its walk: samples, each longer stretch's counters and a checksum, by dots."""
+    if not len(codes):
+        return ""
+    _, nibble, bits = _classes()
+    total = int(ends[-1])
+    kept = _kept((total - 1).bit_length())
+    kept = kept[: np.searchsorted(kept, total)]
+    parts = [_HEX[nibble[codes[np.searchsorted(ends, kept, side="right")]]].tobytes().decode(), "."]
+    acc: dict[int, np.ndarray] = {}
+    stays = np.diff(ends, prepend=0) if total > 1 << FIRST else None
+    char_bits, step_bits = bits[codes], _step_bits()
+    for at in range(1 << FIRST, total, PERIOD):  # so much at once, however long the text
+        to = min(at + PERIOD, total)
+        first, last = np.searchsorted(ends, [at, to - 1], side="right")
+        many = stays[first : last + 1].copy()
+        many[-1] = to - (int(ends[last - 1]) if last else 0)
+        many[0] = min(int(ends[first]), to) - at
+        h = np.repeat(char_bits[first : last + 1], many)
+        shift = at % PERIOD
+        h ^= step_bits[shift : shift + len(h)] if shift + len(h) <= PERIOD else np.concatenate([step_bits[shift:], step_bits[: shift + len(h) - PERIOD]])
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        h >>= np.uint32(26)
+        while at < to:
+            level = at.bit_length() - 1
+            end = min(2 << level, to)
+            n = np.bincount(h[: end - at], minlength=2 * COUNTERS)
+            acc[level] = acc.get(level, 0) + n[:COUNTERS] - n[COUNTERS:]
+            h, at = h[end - at :], end
+    for level, v in acc.items():
+        width = _digits(level)
+        parts += _hex_words(width)[v % 16**width].tolist() if width < 4 else [f"{x:04x}" for x in (v % 16**4).tolist()]
+    return "".join(parts) + f".{zlib.crc32(codes.tobytes()):08x}"
+
+
+def samples_of(fp: str) -> str:
+    return fp.partition(".")[0]
+
+
+def _counters(fp: str) -> dict[int, np.ndarray]:
+    """The counters of each level."""
+    raw, at, level, got = fp.split(".")[1] if fp else "", 0, FIRST, {}
+    while at < len(raw):
+        width = _digits(level)
+        digits = np.frombuffer(raw[at : at + COUNTERS * width].encode(), np.uint8).astype(np.int64)
+        digits = np.where(digits >= 97, digits - 87, digits - 48).reshape(COUNTERS, width)
+        got[level] = digits @ (16 ** np.arange(width - 1, -1, -1))
+        at, level = at + COUNTERS * width, level + 1
     return got
 
 
-def walk_many(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """What the walk over each text of code points has written at the kept steps (nibbles 0-15).
-
-    Texts walk in lockstep while many are left; the last long ones go on alone."""
-    out: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(texts)
-    group = [i for i in range(len(texts)) if len(texts[i])]
-    if not group:
-        return out
-    to_class, to_nibble = _classes()
-    lens = np.array([len(texts[i]) for i in group])
-    flat = np.concatenate([texts[i] for i in group])
-    cls, write = to_class[flat], to_nibble[flat]
-    del flat
-    ends = np.cumsum(lens)
-    first = ends - lens
-    pos, stop, live = first.copy(), ends.copy(), np.arange(len(group))
-    keep = _kept_until(8 * int(lens.max()) + 64)
-    want = keep.tolist()
-    rec: list[tuple[np.ndarray, np.ndarray]] = []
-    alone: dict[int, list[int]] = {}
-    j = k = 0
-    moves = _moves(0)
-    while len(live):
-        if not j % _BLOCK:
-            moves = _moves(j // _BLOCK)
-        if k < len(want) and want[k] == j:
-            rec.append((live, write[pos]))
-            k += 1
-        if len(live) < _LOCKSTEP:
-            for p, at in zip(pos.tolist(), live.tolist(), strict=True):
-                alone[at] = _finish_alone(cls[first[at] : ends[at]], p - int(first[at]), j, keep, k)
-            break
-        pos = pos + ((moves[j % _BLOCK] >> cls[pos]) & 1)
-        j += 1
-        done = pos >= stop
-        if done.any():
-            left = ~done
-            pos, stop, live = pos[left], stop[left], live[left]
-    size = np.zeros(len(group), np.int64)
-    for who, _ in rec:
-        size[who] += 1
-    held = [np.zeros(n, np.uint8) for n in size]
-    if rec:
-        # the kept steps of one text are a prefix of all kept steps
-        grid = np.zeros((len(rec), len(group)), np.uint8)
-        for r, (who, what) in enumerate(rec):
-            grid[r, who] = what
-        held = [grid[: size[c], c] for c in range(len(group))]
-    for c, i in enumerate(group):
-        more = alone.get(c)
-        out[i] = np.concatenate([held[c], write[first[c] + np.array(more)]]) if more else held[c].copy()
-    return out
-
-
-def to_text(nibbles: np.ndarray) -> str:
-    return _HEX[nibbles].tobytes().decode()
-
-
 @cached
 def _weights(n: int) -> np.ndarray:
     """How many steps of the walk each of the first n kept steps stands for."""
@@ -167,17 +179,45 @@ def _weights(n: int) -> np.ndarray:
     return np.concatenate(w)[:n]
 
 
+@cached
+def _first_of(level: int) -> int:
+    """How many kept steps come before a stretch."""
+    return 1 + sum(len(_steps(k)) for k in range(level))
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of the longer walk on which both wrote the same, freed of chance hits of 1 in 16."""
-    n, m = max(len(a), len(b)), min(len(a), len(b))
-    if not n:
+    """Share of the longer walk on which both wrote the same, freed of chance hits of 1 in 16.
+
+    Stretches that are kept whole are counted; of the others the samples tell the share with the error of their
+    number, the counters with an error in proportion to the difference: both are weighed by that."""
+    if a == b:
         return 1.0
+    s, t = samples_of(a), samples_of(b)
+    n, m = max(len(s), len(t)), min(len(s), len(t))
     if not m:
         return 0.0
-    x, y = np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8)
     w = _weights(n)
-    same = float((w[:m] * (x[:m] == y[:m])).sum() / w.sum())
-    return same if same == 1.0 else max(0.0, (same - 1 / 16) / (15 / 16))
+    differ = np.ones(n)
+    differ[:m] = np.frombuffer(s[:m].encode(), np.uint8) != np.frombuffer(t[:m].encode(), np.uint8)
+    lost = w * differ
+    whole = _first_of(FIRST)
+    off = float(lost[:whole].sum())
+    ca, cb = _counters(a), _counters(b)
+    level = FIRST
+    while _first_of(level) < n:
+        part = slice(_first_of(level), _first_of(level + 1))
+        steps = float(w[part].sum())
+        share = float(lost[part].sum()) / steps
+        if level in ca and level in cb:
+            ring = 16 ** _digits(level)
+            d = (ca[level] - cb[level] + ring // 2) % ring - ring // 2
+            counted = min(1.0, float((d * d).sum()) / 2 / steps)
+            mean = (share + counted) / 2
+            share = (counted * (1 - mean) + share * 2 * mean) / (1 + mean)
+        off += share * steps
+        level += 1
+    same = 1 - off / float(w.sum())
+    return min(max(0.0, (same - 1 / 16) / (15 / 16)), 1 - 1e-12)
 
 
 def code_points(text: str | None) -> np.ndarray:
@@ -185,7 +225,8 @@ def code_points(text: str | None) -> np.ndarray:
 
 
 def fingerprint_of(texts: list[str | None]) -> list[str]:
-    return [to_text(x) for x in walk_many([code_points(t) for t in texts])]
+    codes = [code_points(t) for t in texts]
+    return [print_of(c, walk(c)) for c in codes]
 
 
 def _sized_batches(batches: Iterator[pd.DataFrame], col: str, chars: int = 1_000_000) -> Iterator[pd.DataFrame]:
@@ -209,54 +250,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInPandas(released(run), f"{id_col} {kind}, n_chars long, fingerprint string")
 
 
-def band_keys(fp: str, bands: int = 12, width: int = 6) -> list[str]:
-    """Keys of fixed bit samples: each takes so many places of the fingerprint, drawn below the largest power
-    of two that fits, and below half of it, where texts a little shorter or longer have the same places."""
+def band_keys(fp: str, bands: int = 24, width: int = 6) -> list[str]:
+    """Keys of fixed bit samples: each takes so many places of the samples, drawn below 64, 256 and the largest power
+    of two that fits (and below half of that, where texts a little shorter or longer have the same places).
+
+    An edit sets the walks apart for a while, so the first places agree the longest."""
+    fp = samples_of(fp)
     top = len(fp).bit_length() - 1
     got = []
-    for room in {max(top, 0), max(top - 1, 0)} if fp else ():
-        for k in range(bands):
-            picks = np.sort(arrays_of(1000 + k, width) % np.uint64(1 << room))
-            got.append(f"{room}:{k}:" + "".join(fp[int(p)] for p in picks))
+    for room in {min(top, 6), min(top, 8), max(top, 0), max(top - 1, 0)} if fp else ():
+        for k, picks in enumerate(_picks(room, bands, width)):
+            got.append(f"{room}:{k}:" + "".join(map(fp.__getitem__, picks)))
     return got
 
 
+@cached
+def _picks(room: int, bands: int, width: int) -> list[list[int]]:
+    """The places of each band, below 2^room."""
+    return [sorted(int(x) for x in arrays_of(1000 + k, width) % np.uint64(1 << room)) for k in range(bands)]
+
+
 def edit_distance(a: str, b: str, limit: int) -> int:
-    """Levenshtein distance if at most limit, else limit + 1; diagonals reach as far as they can."""
+    """Levenshtein distance if at most limit, else limit + 1.
+
+    What both begin and end with is left out.  The columns of the table of distances are kept as the bits of two
+    long integers (where a column rises and where it falls), so a character of b costs a few operations on them."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
     x, y = code_points(a), code_points(b)
-    n, m = len(x), len(y)
-
-    def slide(i: int, j: int) -> int:
-        step = 64
-        while i < n and j < m:
-            c = min(step, n - i, m - j)
-            eq = x[i : i + c] == y[j : j + c]
-            if not eq.all():
-                return i + int(eq.argmin())
-            i, j, step = i + c, j + c, step * 2
-        return i
-
-    reach = {0: slide(0, 0)}
-    if n == m and reach[0] == n:
-        return 0
-    for d in range(1, limit + 1):
-        nxt = {}
-        for k in range(-d, d + 1):
-            # a character of a goes, one of b comes, or one turns into the other
-            i = max(reach.get(k - 1, -2) + 1, reach.get(k + 1, -1), reach.get(k, -2) + 1)
-            if i < 0:
-                continue
-            i = min(i, n)
-            j = i - k
-            if j < 0 or j > m:
-                continue
-            nxt[k] = slide(i, j)
-        reach = nxt
-        if reach.get(n - m) == n:
-            return d
-    return limit + 1
+    n = min(len(x), len(y))
+    lead = int((x[:n] != y[:n]).argmax()) if n and (x[:n] != y[:n]).any() else n
+    x, y = x[lead:], y[lead:]
+    n = min(len(x), len(y))
+    tail = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
+    trail = int(tail.argmax()) if tail.any() else n
+    x, y = x[: len(x) - trail].tolist(), y[: len(y) - trail].tolist()
+    if not x or not y:
+        return min(len(x) + len(y), limit + 1)
+    if len(x) > len(y):
+        x, y = y, x
+    spots: dict[int, bytearray] = {}
+    for i, c in enumerate(x):
+        if c not in spots:
+            spots[c] = bytearray(len(x) // 8 + 1)
+        spots[c][i >> 3] |= 1 << (i & 7)
+    where = {c: int.from_bytes(v, "little") for c, v in spots.items()}
+    full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
+    up, down, dist = full, 0, len(x)
+    for k, c in enumerate(y):
+        eq = where.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq | down
+        rise = down | (full & ~(across | up))
+        fall = up & across
+        dist += bool(rise & top) - bool(fall & top)
+        # no later column can fall below by more than a character each
+        if dist - (len(y) - 1 - k) > limit:
+            return limit + 1
+        rise = (rise << 1 | 1) & full
+        fall = fall << 1 & full
+        diagonal = eq | down
+        up = fall | (full & ~(diagonal | rise))
+        down = rise & diagonal
+    return dist if dist <= limit else limit + 1
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -268,7 +323,7 @@ def text_classes(docs: DataFrame) -> DataFrame:
 def _across(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     """Pairs of texts (h, fingerprint, comp, side) in different components, alike by least; side 0 meets side 1,
     side 2 itself."""
-    fps = [np.frombuffer(f.encode(), np.uint8) for f in pdf["fingerprint"]]
+    fps = [np.frombuffer(samples_of(f).encode(), np.uint8) for f in pdf["fingerprint"]]
     lens = np.array([len(f) for f in fps])
     grid = np.zeros((len(fps), int(lens.max())), np.uint8)  # 0 is no digit
     for r, f in enumerate(fps):
@@ -281,14 +336,16 @@ def _across(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
         other = np.flatnonzero((side == 1 if side[r] == 0 else np.arange(len(side)) > r) & (comp != comp[r]))
         if len(other):
             same = ((grid[other, : lens[r]] == grid[r, : lens[r]]) @ w[: lens[r]]) / upto[np.maximum(lens[other], lens[r])]
-            # a wide filter: like() has the last word
-            got += [(h[r], h[o]) for o in other[(same - 1 / 16) / (15 / 16) >= least - 1e-6]]
+            # a wide filter by the samples: like() has the last word
+            got += [(h[r], h[o]) for o in other[(same - 1 / 16) / (15 / 16) >= least - 0.05]]
     return pd.DataFrame([(min(p), max(p)) for p in got], columns=["a", "b"])
 
 
-def near_texts(docs: DataFrame, max_edits: float = 0.1, least: float = 0.5, chunk: int = 1024) -> DataFrame:
+def near_texts(docs: DataFrame, max_edits: float = 0.02, least: float = 0.1, chunk: int = 1024) -> DataFrame:
     """Pairs (a, b) of different texts within max_edits edits a character, with their distance.
 
+    The embedding stretches k edits to as many as the square of k steps, so bands tell near texts at few edits in
+    a hundred characters only: at two, texts of 200 to 20,000 characters share one in nine of ten cases or more.
     Equal texts are one class, named by its smallest id (a null id never names one if there is another;
     text_classes tells the members); pairs are between classes, which may share a name.  In a bucket of a band
     each text is first paired with the bucket's first one.  Where that leaves a bucket in several components,
@@ -352,73 +409,100 @@ def edited(text: str, follower: str) -> str:
     return text[: len(text) - n] + follower[:n]
 
 
+#: Characters of a range of ids, about, and the most ranges.
+_RANGE_CHARS, _RANGES = 32_000_000, 50_000
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt by ranges of doc_id (part), so that the next row by ascending id is in the same part: every
     part also gets a copy (ahead = 1) of the row after its last; after the table's last row comes its first.
 
-    Rows are dealt by ranges of ids, and every range also gets a copy of the next range's first row, so
-    the texts move once and no range knows more than its own rows.  Rows of one id are ordered by text."""
+    The texts move once and no range knows more than its own rows.  How many ranges there are follows from the
+    table's characters, where they end from a bounded sample of ids.  Rows of one id are ordered by text; they are
+    one range."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
-    cuts = sorted(set(rows.select(F.col("doc_id").cast("double").alias("doc_id")).filter("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    if not cuts:
-        part = F.lit(0)
-    else:
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda c: c <= F.col("doc_id"))))
-    dealt = rows.withColumn("part", part.cast("int"))
+    many = rows.agg(F.count("doc_id").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2, many["chars"] // _RANGE_CHARS), _RANGES)
+    some = 20 * parts
+    picked = rows.select("doc_id").filter("doc_id is not null").filter(hash_below(1.2 * some / max(many["n"], 1), "doc_id"))
+    sample = sorted({r["doc_id"] for r in picked.limit(2 * some).collect()})
+    cuts = np.array([sample[len(sample) * k // parts] for k in range(1, parts)] if sample else [])
+    cuts = np.unique(cuts) if len(cuts) else cuts
+
+    @F.pandas_udf("int")
+    def part_of(ids: pd.Series) -> pd.Series:
+        out = np.zeros(len(ids), np.int32)
+        there = ids.notna().to_numpy()
+        if len(cuts) and there.any():
+            out[there] = np.searchsorted(cuts, ids[there].to_numpy().astype(cuts.dtype), side="right")
+        return pd.Series(out)
+
+    dealt = rows.withColumn("part", part_of("doc_id"))
     # one small row a range comes to the driver: its first id
-    heads = sorted((r["part"], r["head"]) for r in dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("d"))).alias("head")).collect())
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("d")))
+    heads = sorted((r["part"], r["head"]["d"]) for r in dealt.groupBy("part").agg(first.alias("head")).collect())
     if not heads:
         return rows.select("doc_id", "text", F.lit(0).alias("part"), F.lit(0).alias("ahead"))
-    before = {heads[k][0]: heads[k - 1][0] for k in range(len(heads))}
-    target = F.create_map(*[F.lit(x) for p in before.items() for x in p])[F.col("part")]
-    kind = docs.schema["doc_id"].dataType
-    head = F.create_map(*[c for p, h in heads for c in (F.lit(p), F.lit(h["d"]).cast(kind))])[F.col("part")]
-    first = (
-        dealt.filter(head.eqNullSafe(F.col("doc_id")))
-        .groupBy("part", "doc_id")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    # as many rows as there are ranges: the range, its first id, and the range before it
+    table = [(heads[k][0], heads[k][1], heads[k - 1][0]) for k in range(len(heads))]
+    ends = F.broadcast(spark.createDataFrame(table, f"part int, head {kind}, before int"))
+    ahead = (
+        dealt.join(ends, "part")
+        .filter(F.col("head").eqNullSafe(F.col("doc_id")))
+        .groupBy("part", "doc_id", "before")
         .agg(F.min("text").alias("text"))
-        .select("doc_id", "text", target.cast("int").alias("part"), F.lit(1).alias("ahead"))
+        .select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("ahead"))
     )
-    return dealt.select("doc_id", "text", "part", F.lit(0).alias("ahead")).unionByName(first)
+    return dealt.select("doc_id", "text", "part", F.lit(0).alias("ahead")).unionByName(ahead)
+
+
+def verified_edits(a: str, b: str, fa: str, fb: str, max_edits: float = 0.1) -> int | None:
+    """The exact number of edits between two texts, where their fingerprints share a band and it is within max_edits
+    edits a character; else None."""
+    if not a or not b or (fa != fb and not set(band_keys(fa)) & set(band_keys(fb))):
+        return None
+    limit = int(max_edits * max(len(a), len(b)))
+    edits = edit_distance(a, b, limit)
+    return edits if edits <= limit else None
 
 
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
-    """Contract query: fingerprints of every text and of its edited text, and their likeness."""
+    """Contract query: fingerprints of every text and of its edited text, and their likeness; edited_edits and
+    next_edits are the verified edits to the edited text and to the next document, where banding brings the two
+    together (null where it does not, or where they are further apart than an edit in ten characters)."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     both = with_next(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = both.repartition(F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_edits", "next_edits"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # the row whose next has not come yet
-
-        def finish(rows: list) -> pd.DataFrame:
-            texts = [r[1] for r in rows[:-1]]
-            nxt = [r[1] for r in rows[1:]]
-            changed = [edited(a, b) for a, b in zip(texts, nxt, strict=True)]
-            both = fingerprint_of(texts + nxt[-1:] + changed)
-            own, other = both[: len(rows)], both[len(rows) :]
-            return pd.DataFrame(
-                [
-                    (r[0], len(t), hashlib.sha256(c.encode("utf-8", "replace")).hexdigest(), f, g, likeness(f, g), likeness(f, h))
-                    for r, t, c, f, g, h in zip(rows, texts, changed, own, other, own[1:], strict=False)
-                    if not r[3]
-                ],
-                columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
+        last = None  # the row whose next has not come yet, with its walk and fingerprint
 
-        for b in _sized_batches(batches, "text", 1_200_000):
-            rows = list(zip(b["doc_id"], b["text"], b["part"], b["ahead"], strict=True))
-            rows = ([last] if last else []) + rows
-            if len(rows) > 1:
-                yield finish(rows)
-            last = rows[-1]
+        def walked(doc, text, ahead):
+            codes = code_points(text)
+            ends = walk(codes)
+            return doc, text, ahead, codes, ends, print_of(codes, ends)
 
-    return dealt.mapInPandas(released(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        for b in _sized_batches(batches, "text", 1_200_000):
+            out = []
+            for doc, text, ahead in zip(b["doc_id"], b["text"], b["ahead"], strict=True):
+                new = walked(doc, text, ahead)
+                if last is not None and not last[2]:
+                    d, t, _, codes, ends, f = last
+                    cut = len(t) - len(t) // 4
+                    other = edited(t, text)
+                    mixed = np.concatenate([codes[:cut], new[3][: len(t) // 4]])
+                    g = print_of(mixed, walk(mixed, ends[:cut]))
+                    out.append((d, len(t), hashlib.sha256(other.encode("utf-8", "replace")).hexdigest(), f, g, likeness(f, g), likeness(f, new[5]), verified_edits(t, other, f, g), verified_edits(t, text, f, new[5])))
+                last = new
+            if out:
+                rows = pd.DataFrame(out, columns=cols)
+                yield rows.astype({"edited_edits": "Int32", "next_edits": "Int32"})
+
+    return dealt.mapInPandas(released(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_edits int, next_edits int")

@@ -180,9 +180,11 @@ def parse(source: str | None) -> Page:
         if kind == "close":
             if name == "head":
                 head = False
+            if not opened[name] and opened[f"svg:{name}"]:
+                name = f"svg:{name}"
             if opened[name]:
                 k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name)
-                if any(x[0] not in INLINE for x in stack[k:]):
+                if any(x[0] not in INLINE and not x[0].startswith("svg:") for x in stack[k:]):
                     block += 1
                 cut(k)
             elif name == "p":

@@ -23,25 +23,65 @@ def docs(spark, data):
 # -- 1
 
 
-def plain_walk(text):
-    c = fingerprints.code_points(text)
-    classes, nibbles = fingerprints._classes()
-    keep = set(fingerprints._kept_until(8 * len(c) + 64).tolist())
+def plain_print(text):
+    """The walk step by step: samples, and every step of the longer stretches in the counters."""
+    c = fingerprints.code_points(text).tolist()
+    classes, nibbles, bits = (x.tolist() for x in (t[np.array(c, np.int64)] for t in fingerprints._classes()))
+    moves = (fingerprints.mix64(np.arange(fingerprints.PERIOD, dtype=np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(34)).tolist()
+    step_bits = fingerprints._step_bits().tolist()
+    keep = set(fingerprints._kept(20).tolist())
     i = j = 0
-    out = []
+    out, acc = "", {}
     while i < len(c):
         if j in keep:
-            out.append(int(nibbles[c[i]]))
-        i += (int(fingerprints._moves(j // fingerprints._BLOCK)[j % fingerprints._BLOCK]) >> int(classes[c[i]])) & 1
+            out += "0123456789abcdef"[nibbles[i]]
+        if j >= 1 << fingerprints.FIRST:
+            h = (bits[i] ^ step_bits[j % fingerprints.PERIOD]) * 0x9E3779B1 % 2**32
+            h = (h ^ h >> 15) * 0x85EBCA77 % 2**32 >> 26
+            row = acc.setdefault(j.bit_length() - 1, [0] * fingerprints.COUNTERS)
+            row[h % fingerprints.COUNTERS] += 1 if h < fingerprints.COUNTERS else -1
+        i += moves[j % fingerprints.PERIOD] >> classes[i] & 1
         j += 1
-    return fingerprints.to_text(np.array(out, np.uint8))
+    tail = "".join(f"{v % 16 ** fingerprints._digits(k):0{fingerprints._digits(k)}x}" for k, row in sorted(acc.items()) for v in row)
+    return f"{out}.{tail}.{zlib.crc32(np.array(c, np.uint32).tobytes()):08x}" if c else ""
 
 
-def test_walks_do_not_depend_on_company():
+def test_walks_match_plain_loops():
     rng = random.Random(3)
-    texts = ["".join(rng.choice("abcdé 😀") for _ in range(rng.choice([0, 1, 5, 70, 300, 1500]))) for _ in range(130)] + ["x" * 6000]
-    together = fingerprints.fingerprint_of(texts)
-    assert together == [plain_walk(t) for t in texts] == [fingerprints.fingerprint_of([t])[0] for t in texts]
+    texts = ["".join(rng.choice("abcdé 😀") for _ in range(rng.choice([0, 1, 5, 70, 300, 1500]))) for _ in range(60)] + ["x" * 6000]
+    texts.append("".join(rng.choice("abcdefgh ") for _ in range(50_000)))
+    assert fingerprints.fingerprint_of(texts) == [plain_print(t) for t in texts]
+    codes = fingerprints.code_points(texts[-1])
+    ends = fingerprints.walk(codes)
+    assert (fingerprints.walk(codes, ends[:30_000]) == ends).all()
+
+
+def test_every_edit_shows_and_near_texts_share_bands():
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrst    ") for _ in range(60_000))
+    for _ in range(40):
+        at = rng.randrange(20_000, 39_999)
+        other = text[:at] + ("y" if rng.random() < 0.5 else "") + text[at + 1 : 40_000]
+        a, b = fingerprints.fingerprint_of([text[:40_000], other])
+        assert a != b and 0.5 < fingerprints.likeness(a, b) < 1
+    for size in (200, 2000, 10_000, 20_000):
+        met = 0
+        for k in range(40):
+            one = text[k * 1000 : k * 1000 + size]
+            edit = lambda c, r: c if r > 0.02 else "" if r < 0.007 else rng.choice("uvwxyz") + c * (r > 0.013)
+            two = "".join(edit(c, rng.random()) for c in one)
+            f, g = fingerprints.fingerprint_of([one, two])
+            met += bool(set(fingerprints.band_keys(f)) & set(fingerprints.band_keys(g))) and fingerprints.likeness(f, g) >= 0.1
+        assert met >= 0.9 * 40, (size, met)
+
+
+def test_text_ids_and_repeated_ids(spark, tmp_path):
+    rows = [(f"k{i % 7}" if i % 5 else None, "some words " * (i % 4) + "abc" * i) for i in range(40)]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    want = sorted((str(d), len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for (d, t), (_, n) in zip(order, order[1:] + order[:1]))
+    got = fingerprints.op1_fingerprint(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == want
 
 
 def test_fingerprints_follow_the_contract(spark, data, docs):
@@ -55,6 +95,12 @@ def test_fingerprints_follow_the_contract(spark, data, docs):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
         assert [r["fingerprint"], r["edited_fingerprint"]] == fingerprints.fingerprint_of([text, changed])
         near.append(r["near_edited"]), far.append(r["near_next"])
+        for other, edits, f in ((changed, r["edited_edits"], r["edited_fingerprint"]), (follower, r["next_edits"], fingerprints.fingerprint_of([follower])[0])):
+            bands = [set(fingerprints.band_keys(x)) for x in (r["fingerprint"], f)]
+            if edits is None:
+                assert not bands[0] & bands[1] or len(text) > 400 or plain_distance(text, other) > int(0.1 * max(len(text), len(other))) or not (text and other)
+            else:
+                assert edits <= 0.1 * max(len(text), len(other)) and (edits == 0) == (text == other)
     assert np.median(near) > 0.7 and np.median(far) < 0.2 and np.mean(np.array(near) > np.array(far)) > 0.97
 
 
@@ -183,6 +229,33 @@ def test_masking_takes_whole_private_keys(spark):
     assert all(got[10 + i] == begin + copied + end for i in range(3))
 
 
+def test_key_bodies_and_many_matches_match_sql(spark, tmp_path):
+    rng = random.Random(6)
+    body = lambda n: "\n".join("".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(64)) for _ in range(n)) + "\nQ==\n"
+    begin, end = "-----BEGIN EC PRIVATE KEY-----\n", "-----END EC PRIVATE KEY-----"
+    shared = body(4)
+    texts = [f"a {begin}{body(5)}{end} b {begin}{body(2)}{end}", f"{begin}{shared}{end}", f"{begin}{shared}", "the line -----BEGIN RSA PRIVATE KEY----- is the head of a file and no key at all as such", begin]
+    texts += [" ".join(f"é token={rng.getrandbits(60):x}" for _ in range(700)), "token=abc " * 300 + "secret: " + "Zz19" * 5]
+    rows = [(i, t, f"o{i % 3}/r{i}", "x") for i, t in enumerate(texts * 2)] + [(None, "password: n0neHere77", None, "x"), (3, None, "o", "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, verdict string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = credentials.op3_secrets(spark, str(tmp_path))
+    cols = sorted(df.columns)
+    want = con.sql(f"select {', '.join(cols)} from ({queries.oracle_sql()['op3_secrets']})").fetchall()
+    got = [tuple(r) for r in df.select(cols).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    live = {r["doc_id"]: r["n_live"] for r in df.collect() if r["doc_id"] is not None and r["doc_id"] < 7 and r["spans"] != "" or r["doc_id"] in (3, 4)}
+    assert live[0] == 2 and live[1] == live[2] == 0 and live[3] == live[4] == 0 and live[5] == 700
+
+
+def test_masking_meets_no_column_names(spark):
+    schema = "doc_id long, text string, source string, n_chars long, live string, j_id long, j_ck long, _found string, _ck long, _new string, cand string, ck long, row string, verdicts string, hash string"
+    rows = [(1, "token=Zx81qP0rLm", "o", 16, "a", 1, 2, "b", 3, "c", "d", 4, "e", "f", "g")]
+    out = credentials.masked(spark.createDataFrame(rows, schema)).collect()
+    assert [tuple(r) for r in out] == [(1, f"token={credentials.MASK}", "o", len(f"token={credentials.MASK}"), *rows[0][4:])]
+
+
 def test_masking_spares_copied_examples(spark):
     live, copied = "Zx81qP0rLm", "Ab12Cd34Ef"
     rows = [(0, f"a token={live} b", "o1/r", 18)] + [(k, f"see token={copied}.", f"o{k}/r", 20) for k in (1, 2, 3)] + [(9, None, None, None)]
@@ -238,8 +311,10 @@ def test_chains_and_crowds_match_brute_force(spark):
                 base = w
     rows += [(n + k, " ".join(passage + [word() for _ in range(60)])) for k in range(60)]
     rows += [(n + 100 + k, rows[0][1]) for k in range(20)]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_components(rows)
+    want = plain_components(rows)
+    for kind in ({}, {"chunk": 16}, {"chunk": 8, "large": 24}):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **kind).collect()}
+        assert got == want, kind
 
 
 def test_sketches_merge_and_estimate():
@@ -448,6 +523,49 @@ def test_html_structure_and_text():
     assert html_text.text_of(page, np.ones(len(page.tag), bool)) == "a & b\ncde f\nx\ny\nq < r"
 
 
+WORDS = "one two three four five six seven eight nine ten, eleven twelve thirteen. "
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return html_text.train_forest()
+
+
+@pytest.mark.parametrize(
+    "odd, shown",
+    [
+        ("<svg/>", ""), ("<math/>", ""), ("<iframe/>", ""), ("<iframe>", ""), ("<template>", ""), ("<object>", ""), ("<svg><path>", ""),
+        ("<p>" + "İ" * 300 + "</p><script>var a='</p>'</script>", "İ" * 300), ("<p>area <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is it.</p>", "area x=2 is it."),
+        ("<p>see <object data=x>what it falls back to</object> there.</p>", "see what it falls back to there."), ("<noscript><p>plain words for all readers here.</p></noscript>", "plain words for all readers here."),
+        ("<p title=\"a>b\">quoted ends are no ends at all.</p>", "quoted ends are no ends at all."), ("<p>a lone ' quote and \" another, 1 < 2.</p>", "a lone ' quote and \" another, 1 < 2."),
+    ],
+)
+def test_odd_elements_lose_no_text(forest, odd, shown):
+    page = f"<html><head><title>t</title></head><body><nav><a href=/>x</a></nav><article><h1>Title here</h1><p>{WORDS * 3}</p>{odd}<p>kept one. {WORDS}</p></article><footer>foot</footer></body></html>"
+    got = html_text.extract([page], forest)[0].split("\n")
+    assert got[0] == "Title here" and got[-1].startswith("kept one.") and (not shown or shown in got)
+
+
+@pytest.mark.parametrize("hostile", ["<a '", '<a x="', "<iframe>", "<b>", "<svg><p>", "</i>", "<p><b></i>", "<!-", "<"])
+def test_hostile_pages_are_read_once(hostile):
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        began = time.process_time()
+        html_text.parse(hostile * n + "<p>end</p>")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 0.5
+
+
+def test_pages_of_many_nodes(forest):
+    page = "<body><article>" + "<div class='a b'><p>some words stand here.</div>" * 20_000
+    assert html_text.extract([page, None, page], forest)[1] == ""
+    parsed = html_text.parse(page)
+    blocks = list(html_text.feature_rows(parsed))
+    assert sum(map(len, blocks)) == len(parsed.tag) and max(map(len, blocks)) <= html_text.NODES
+
+
 def test_decoding_never_contradicts():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -464,8 +582,7 @@ def test_decoding_never_contradicts():
                 assert keep[page.parent[v]]
 
 
-def test_main_text_of_pages(spark, data):
-    forest = html_text.train_forest()
+def test_main_text_of_pages(spark, data, forest):
     rng, right = np.random.default_rng(123), []
     for _ in range(120):
         source, mark = html_text.sample_page(rng)
