@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,10 @@ _SEED = 0x5EED
 #: The random bits repeat after so many steps.
 PERIOD = 1 << 16
 _CLASSES = 30
+#: Bands, and the places of the samples that a band takes.
+BANDS, WIDTH = 24, 6
+#: Edits a character within which texts are near.
+MAX_EDITS = 0.02
 #: Characters that are walked at a stretch: even at the longest stay they take less than a period.
 _CHUNK = 2048
 
@@ -87,12 +92,8 @@ def walk(codes: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
     out = [known]
     for lo in range(len(known), len(b), _CHUNK):
         j = first = at % PERIOD
-        got = []
-        add = got.append
-        for row in map(rows.__getitem__, b[lo : lo + _CHUNK]):
-            j += row[j]
-            add(j)
-        out.append(np.array(got, np.int64) + (at - first))
+        got = array("q", [j := j + row[j] for row in map(rows.__getitem__, b[lo : lo + _CHUNK])])
+        out.append(np.frombuffer(got, np.int64) + (at - first))
         at += j - first
     return np.concatenate(out)
 
@@ -156,12 +157,17 @@ def samples_of(fp: str) -> str:
 
 def _counters(fp: str) -> dict[int, np.ndarray]:
     """The counters of each level."""
-    raw, at, level, got = fp.split(".")[1] if fp else "", 0, FIRST, {}
-    while at < len(raw):
+    raw = fp.split(".")[1] if fp else ""
+    digits = np.frombuffer(raw.encode(), np.uint8).astype(np.int32)
+    digits -= np.where(digits >= 97, 87, 48)
+    at, level, got = 0, FIRST, {}
+    while at < len(digits):
         width = _digits(level)
-        digits = np.frombuffer(raw[at : at + COUNTERS * width].encode(), np.uint8).astype(np.int64)
-        digits = np.where(digits >= 97, digits - 87, digits - 48).reshape(COUNTERS, width)
-        got[level] = digits @ (16 ** np.arange(width - 1, -1, -1))
+        rows = digits[at : at + COUNTERS * width].reshape(COUNTERS, width)
+        value = rows[:, 0]
+        for k in range(1, width):
+            value = value * 16 + rows[:, k]
+        got[level] = value
         at, level = at + COUNTERS * width, level + 1
     return got
 
@@ -250,15 +256,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInPandas(released(run), f"{id_col} {kind}, n_chars long, fingerprint string")
 
 
-def band_keys(fp: str, bands: int = 24, width: int = 6) -> list[str]:
+def band_keys(fp: str, bands: int = BANDS, width: int = WIDTH) -> list[str]:
     """Keys of fixed bit samples: each takes so many places of the samples, drawn below 64, 256 and the largest power
     of two that fits (and below half of that, where texts a little shorter or longer have the same places).
 
     An edit sets the walks apart for a while, so the first places agree the longest."""
     fp = samples_of(fp)
-    top = len(fp).bit_length() - 1
     got = []
-    for room in {min(top, 6), min(top, 8), max(top, 0), max(top - 1, 0)} if fp else ():
+    for room in _rooms(len(fp)):
         for k, picks in enumerate(_picks(room, bands, width)):
             got.append(f"{room}:{k}:" + "".join(map(fp.__getitem__, picks)))
     return got
@@ -270,6 +275,19 @@ def _picks(room: int, bands: int, width: int) -> list[list[int]]:
     return [sorted(int(x) for x in arrays_of(1000 + k, width) % np.uint64(1 << room)) for k in range(bands)]
 
 
+def _rooms(n: int) -> set[int]:
+    top = n.bit_length() - 1
+    return {min(top, 6), min(top, 8), max(top, 0), max(top - 1, 0)} if n else set()
+
+
+def share_a_band(a: str, b: str, bands: int = BANDS, width: int = WIDTH) -> bool:
+    """Whether two fingerprints have a band key in common."""
+    x, y = (np.frombuffer(samples_of(f).encode(), np.uint8) for f in (a, b))
+    n = min(len(x), len(y))
+    same = x[:n] == y[:n]
+    return any(same[np.array(_picks(room, bands, width))].all(axis=1).any() for room in _rooms(len(x)) & _rooms(len(y)))
+
+
 def edit_distance(a: str, b: str, limit: int) -> int:
     """Levenshtein distance if at most limit, else limit + 1.
 
@@ -284,9 +302,14 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     n = min(len(x), len(y))
     tail = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
     trail = int(tail.argmax()) if tail.any() else n
-    x, y = x[: len(x) - trail].tolist(), y[: len(y) - trail].tolist()
-    if not x or not y:
+    x, y = x[: len(x) - trail], y[: len(y) - trail]
+    if not len(x) or not len(y):
         return min(len(x) + len(y), limit + 1)
+    # an edit changes four pairs of neighbours at most
+    pairs = [np.bincount((t[1:] * np.uint32(31) + t[:-1]) & np.uint32(1023), minlength=1024) for t in (x, y)]
+    if np.abs(pairs[0] - pairs[1]).sum() > 4 * limit:
+        return limit + 1
+    x, y = x.tolist(), y.tolist()
     if len(x) > len(y):
         x, y = y, x
     spots: dict[int, bytearray] = {}
@@ -297,15 +320,21 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     where = {c: int.from_bytes(v, "little") for c, v in spots.items()}
     full, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
     up, down, dist = full, 0, len(x)
+
+    def above(up: int, down: int, mask: int, k: int) -> int:
+        """The distance of the first characters of x, as many as mask has bits, and the first k of y."""
+        return k + (up & mask).bit_count() - (down & mask).bit_count()
+
     for k, c in enumerate(y):
+        if not k & 63:
+            # a path within the limit stays within limit of the diagonal, where the distance is twice the limit at most
+            if above(up, down, (1 << min(k, len(x))) - 1, k) > 2 * limit or dist - (len(y) - k) > limit:
+                return limit + 1
         eq = where.get(c, 0)
         across = (((eq & up) + up) ^ up) | eq | down
         rise = down | (full & ~(across | up))
         fall = up & across
         dist += bool(rise & top) - bool(fall & top)
-        # no later column can fall below by more than a character each
-        if dist - (len(y) - 1 - k) > limit:
-            return limit + 1
         rise = (rise << 1 | 1) & full
         fall = fall << 1 & full
         diagonal = eq | down
@@ -341,7 +370,7 @@ def _across(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.DataFrame([(min(p), max(p)) for p in got], columns=["a", "b"])
 
 
-def near_texts(docs: DataFrame, max_edits: float = 0.02, least: float = 0.1, chunk: int = 1024) -> DataFrame:
+def near_texts(docs: DataFrame, max_edits: float = MAX_EDITS, least: float = 0.1, chunk: int = 1024) -> DataFrame:
     """Pairs (a, b) of different texts within max_edits edits a character, with their distance.
 
     The embedding stretches k edits to as many as the square of k steps, so bands tell near texts at few edits in
@@ -410,7 +439,7 @@ def edited(text: str, follower: str) -> str:
 
 
 #: Characters of a range of ids, about, and the most ranges.
-_RANGE_CHARS, _RANGES = 32_000_000, 50_000
+_RANGE_CHARS, _RANGES = 8_000_000, 50_000
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -455,13 +484,13 @@ def with_next(docs: DataFrame) -> DataFrame:
         .agg(F.min("text").alias("text"))
         .select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("ahead"))
     )
-    return dealt.select("doc_id", "text", "part", F.lit(0).alias("ahead")).unionByName(ahead)
+    return dealt.select("doc_id", "text", "part", F.lit(0).alias("ahead")).unionByName(ahead).repartition(parts, "part")
 
 
-def verified_edits(a: str, b: str, fa: str, fb: str, max_edits: float = 0.1) -> int | None:
+def verified_edits(a: str, b: str, fa: str, fb: str, max_edits: float = MAX_EDITS) -> int | None:
     """The exact number of edits between two texts, where their fingerprints share a band and it is within max_edits
     edits a character; else None."""
-    if not a or not b or (fa != fb and not set(band_keys(fa)) & set(band_keys(fb))):
+    if not a or not b or not share_a_band(fa, fb):
         return None
     limit = int(max_edits * max(len(a), len(b)))
     edits = edit_distance(a, b, limit)
@@ -471,14 +500,14 @@ def verified_edits(a: str, b: str, fa: str, fb: str, max_edits: float = 0.1) ->
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
     """Contract query: fingerprints of every text and of its edited text, and their likeness; edited_edits and
     next_edits are the verified edits to the edited text and to the next document, where banding brings the two
-    together (null where it does not, or where they are further apart than an edit in ten characters)."""
+    together (null where it does not, or where they are further apart than MAX_EDITS a character)."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     both = with_next(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = both.repartition(F.col("part")).sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = both.sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), "text")
     cols = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edited_edits", "next_edits"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

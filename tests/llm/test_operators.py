@@ -98,9 +98,9 @@ def test_fingerprints_follow_the_contract(spark, data, docs):
         for other, edits, f in ((changed, r["edited_edits"], r["edited_fingerprint"]), (follower, r["next_edits"], fingerprints.fingerprint_of([follower])[0])):
             bands = [set(fingerprints.band_keys(x)) for x in (r["fingerprint"], f)]
             if edits is None:
-                assert not bands[0] & bands[1] or len(text) > 400 or plain_distance(text, other) > int(0.1 * max(len(text), len(other))) or not (text and other)
+                assert not bands[0] & bands[1] or len(text) > 400 or plain_distance(text, other) > int(fingerprints.MAX_EDITS * max(len(text), len(other))) or not (text and other)
             else:
-                assert edits <= 0.1 * max(len(text), len(other)) and (edits == 0) == (text == other)
+                assert edits <= fingerprints.MAX_EDITS * max(len(text), len(other)) and (edits == 0) == (text == other)
     assert np.median(near) > 0.7 and np.median(far) < 0.2 and np.mean(np.array(near) > np.array(far)) > 0.97
 
 

@@ -40,7 +40,7 @@ def plain_masked(rows):
 def test_pipeline_matches_plain_python(spark, data, tmp_path):
     table = spark.read.parquet(f"{data}/documents.parquet")
     texts = ["The token=Zx81qP0rLm and password: qW3eR5tY7u of this one.", "Copied api_key=Ab12Cd34Ef here.", "!!! 123"]
-    more = [(900_000 + k, texts[k % 3] + "".join(f" the w{k}x{j} and" for j in range(12)), "en", f"own{k}/r") for k in range(9)] + [(900_100, "... 12", None, None), (900_101, None, "en", "a")]
+    more = [(900_000 + k, texts[k % 3].replace("qP0rLm", f"qP0r{k}m").replace("qW3e", f"q{k}3e") + "".join(f" the w{k}x{j} and" for j in range(12)), "en", f"own{k}/r") for k in range(9)] + [(900_100, "... 12", None, None), (900_101, None, "en", "a")]
     rows = spark.createDataFrame([(*r, None if r[1] is None else len(r[1])) for r in more], "doc_id long, text string, lang string, source string, n_chars long")
     table.unionByName(rows.select([F.col(c).cast(t) for c, t in table.dtypes])).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
