@@ -71,8 +71,13 @@ def removed(side: DataFrame, pairs: DataFrame) -> DataFrame:
 def faults(side: DataFrame, frame: Frame, path: tuple[str, ...]) -> DataFrame:
     """What is wrong with a side table: (fault, entries) rows; none if it agrees with the documents."""
     want = entries(frame, path)
-    cond = [side[c].eqNullSafe(want[c]) for c in side.columns]
-    stale = side.join(want, cond, "left_anti").agg(F.count(F.lit(1)).alias("entries")).withColumn("fault", F.lit("entry without a document"))
-    lost = want.join(side, cond, "left_anti").agg(F.count(F.lit(1)).alias("entries")).withColumn("fault", F.lit("document without an entry"))
-    twice = side.groupBy(*side.columns).count().filter("count > 1").agg(F.count(F.lit(1)).alias("entries")).withColumn("fault", F.lit("repeated entry"))
-    return stale.unionByName(lost).unionByName(twice).filter("entries > 0").select("fault", "entries")
+    # one exchange: how often either side has each entry
+    both = side.select(*side.columns, F.lit(1).alias("have"), F.lit(0).alias("need")).unionByName(want.select(*side.columns, F.lit(0).alias("have"), F.lit(1).alias("need")))
+    told = both.groupBy(*side.columns).agg(F.sum("have").alias("have"), F.sum("need").alias("need"))
+    count = lambda when, n: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).cast("long")
+    sums = told.agg(
+        count(F.col("need") == 0, F.col("have")).alias("entry without a document"),
+        count(F.col("have") == 0, F.col("need")).alias("document without an entry"),
+        count(F.col("have") > 1, F.lit(1)).alias("repeated entry"),
+    )
+    return sums.unpivot([], list(sums.columns), "fault", "entries").filter("entries > 0")

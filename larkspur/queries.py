@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
+from larkspur.operators import index as ix
 from larkspur.operators import redo
 from larkspur.plans.planner import IndexDefinition
+from larkspur.sources.backend import DocumentApi
 from larkspur.workload import advisor, analysis
 
 # The tables' keys; none of their columns is ever null (the tables' declared constraint).
@@ -172,6 +174,39 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.execute("events.get { props.k == 9 } | project event_id, props.k").df.select("event_id", F.col("props.k").alias("k"))
 
 
+def _planted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries taken out of an index, put in twice and made up."""
+    engine = opened(spark, sf_dir, "orders")
+    engine.execute("create index by_customer on orders (o_custkey)")
+    side = engine.side_table("by_customer")
+    key = F.col("key_int")
+    left = side.filter(key % 5 != 0)
+    broken = left.unionByName(left.filter(key % 7 == 1)).unionByName(side.filter(key % 11 == 2).withColumn("key_int", key + 1_000_000_000))
+    return ix.faults(broken, engine.frame("orders"), ("o_custkey",))
+
+
+#: What replaced documents hold.
+_MARKED = "CASE WHEN o_orderkey % 4 = 1 THEN 'replaced' ELSE o_orderpriority END AS o_orderpriority"
+
+
+def _by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents replaced and a quarter deleted, by their ids."""
+    engine = opened(spark, sf_dir, "orders")
+    api = DocumentApi(engine)
+    rows = engine.frame("orders").df
+    api.replace("orders", rows.filter("o_orderkey % 4 = 1").withColumn("o_orderpriority", F.lit("replaced")))
+    api.delete("orders", rows.filter("o_orderkey % 4 = 2"))
+    return engine.execute(f"orders.get {{}} | project {_ORDERS}").df
+
+
+def _dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection dropped with its index and created anew knows nothing of its former self."""
+    engine = Engine(spark)
+    for text in ("create collection c", 'c.insert { name: "first", n: 1 }', "create index by_n on c (n)", "drop index by_n", "create index by_n on c (n)", "drop collection c", "create collection c", 'c.insert { name: "again", n: 2 }'):
+        engine.execute(text)
+    return engine.execute("c.get { n >= 1 }").df
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = opened(spark, sf_dir, "orders")
     engine.execute("create index by_key on orders (o_orderkey)")
@@ -220,8 +255,25 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     ),
     "arith_int_div": (_get(f"orders.get {{ o_orderkey / 1000 == 4 }} | project {_ORDERS}"), f"SELECT {_ORDERS} FROM orders WHERE o_orderkey // 1000 = 4"),
     "arith_int_rem": (
-        _get(f"orders.get {{ o_orderkey % 7 == 3 and o_orderkey / 1000 == 4 }} | project {_ORDERS}"),
-        f"SELECT {_ORDERS} FROM orders WHERE o_orderkey % 7 = 3 AND o_orderkey // 1000 = 4",
+        _get(f"orders.get {{ o_orderkey % 7 == 3 }} | project {_ORDERS}"),
+        f"SELECT {_ORDERS} FROM orders WHERE o_orderkey % 7 = 3",
+    ),
+    "arith_add_values": (_get(f"orders.get {{ o_orderkey + o_custkey > 1200 }} | project {_ORDERS}"), f"SELECT {_ORDERS} FROM orders WHERE o_orderkey + o_custkey > 1200"),
+    "arith_add_floats": (
+        _get("lineitem.get { l_discount + l_tax > 0.125 } | project l_orderkey, l_linenumber, l_discount, l_tax"),
+        "SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE l_discount + l_tax > 0.125::DOUBLE",
+    ),
+    "arith_float_div_rem": (
+        _get("events.get { value / 3.0 > 10.0 and value % 7.0 < 2.5 } | project event_id, value"),
+        "SELECT event_id, value FROM events WHERE value / 3.0::DOUBLE > 10 AND value % 7.0::DOUBLE < 2.5",
+    ),
+    "arith_negative_operands": (
+        _get("customer.get { -c_custkey / 7 < -3 and -c_custkey % 7 < -2 and c_acctbal % 100.0 < -10.0 } | project c_custkey, c_acctbal"),
+        "SELECT c_custkey, c_acctbal FROM customer WHERE -c_custkey // 7 < -3 AND -c_custkey % 7 < -2 AND c_acctbal % 100.0::DOUBLE < -10",
+    ),
+    "object_literal_equality": (
+        _after('orders.update {} | set tag = { rest: o_orderkey % 5, kind: "x" }', 'orders.get { tag == { rest: 3, kind: "x" } and tag != { rest: 3, kind: "y" } and tag != { rest: 3 } } | project o_orderkey'),
+        "SELECT o_orderkey FROM orders WHERE o_orderkey % 5 = 3",
     ),
     "unary_minus_plus": (_get("customer.get { -c_acctbal > +100.0 }"), f"SELECT {_CUSTOMER} FROM customer WHERE -c_acctbal > 100"),
     "cross_kind_equal_is_false": (_get("part.get { p_size == 1.0 }"), f"SELECT {_PART} FROM part WHERE false"),
@@ -279,6 +331,17 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _index("create index by_total on orders (o_totalprice)", lambda e: e.verify_index("by_total")),
         "SELECT 'x' AS fault, CAST(0 AS BIGINT) AS entries WHERE false",
     ),
+    "index_faults": (
+        _planted_faults,
+        """SELECT 'document without an entry' AS fault, count(*) AS entries FROM orders WHERE o_custkey % 5 = 0
+UNION ALL SELECT 'repeated entry', count(*) FROM orders WHERE o_custkey % 5 <> 0 AND o_custkey % 7 = 1
+UNION ALL SELECT 'entry without a document', count(*) FROM orders WHERE o_custkey % 11 = 2""",
+    ),
+    "replace_delete_by_id": (
+        _by_id,
+        f"SELECT {_ORDERS.replace('o_orderpriority', _MARKED)} FROM orders WHERE o_orderkey % 4 <> 2",
+    ),
+    "drop_and_create": (_dropped, "SELECT 'again' AS name, 2::BIGINT AS n"),
     "explain_text": (
         _explained,
         "SELECT * FROM (VALUES (0::INTEGER, 'IndexScan(orders, by_key, Int64(7)) -> Filter -> Sort -> Limit'), (1, 'CollectionScan(orders) -> Filter'), (2, 'IndexScan(orders, by_key, Float64(OrderedF64(4609434218613702656))) -> Filter'), (3, 'Command')) t(n, plan)",

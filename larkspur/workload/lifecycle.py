@@ -29,7 +29,7 @@ class Lifecycle:
         for r in recommendations:
             key = (r["collection"], r["path"])
             if key in self._held:
-                raise InvalidArgument("duplicate index recommendation")
+                raise InvalidArgument(f"{key[0]}.{key[1]} is recommended twice")
             self._held[key] = Record(r)
 
     def records(self) -> list[Record]:
@@ -66,7 +66,7 @@ class Lifecycle:
         if seen is None:
             raise NotFound(f"later telemetry for {collection}.{path}")
         if seen["index_scans"] < min_index_scans:
-            raise InvalidState(f"need at least {min_index_scans} index scans, observed {seen['index_scans']}")
+            raise InvalidState(f"{seen['index_scans']} index scans are too few to judge by, {min_index_scans} are wanted")
         told = impact(later.sparkSession.createDataFrame([r.recommendation], _SCHEMA), one, min_index_scans).first()
         self._step("evaluate", collection, path, evaluation=told)
         return told

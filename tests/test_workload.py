@@ -35,7 +35,7 @@ def test_advice_from_scan_to_evaluation(spark):
     found = advisor.recommend(analysis.candidates(first), e.db.definitions(), advisor.Thresholds(examined=1)).collect()
     assert [(r["collection"], r["path"], r["return_ratio"]) for r in found] == [("students", "branch", 1000)]
     told = assistant.explain(found[0])
-    assert told.suggestion == "create index nie_students_branch on students (branch)" and told.narrative is None
+    assert told.suggestion == "create index by_students_branch on students (branch)" and told.narrative is None
     life = Lifecycle(found)
     with pytest.raises(InvalidState):
         life.mark_applied("students", "branch")
