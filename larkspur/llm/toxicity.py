@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, crc_part, released, small_batches
+from .common import Adam, crc_part, hash_below, released, small_batches
 
 #: Everything that is not an ASCII letter or a byte of a longer character separates words.
 _SPLIT = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -294,16 +294,17 @@ def training_sample(docs: DataFrame, labels: DataFrame, cfg: Config = Config()):
     room = {0: cfg.texts_per_label + cfg.clean_for_cuts, 1: cfg.texts_per_label}
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_part("doc_id", 5) != 0))
     counts = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     keep = F.lit(False)
     for k, n in counts.items():
-        keep = keep | ((F.col("toxic") == k) & (h < int(min(1.0, 1.2 * room[k] / n) * 1_000_000) + 1))
-    # the sample is bounded: about 1.2 times the room
-    picked = F.broadcast(lab.filter(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+        keep = keep | ((F.col("toxic") == k) & hash_below(1.2 * room[k] / n, "doc_id"))
+    # the sample is bounded at any size: about 1.2 times the room
+    picked = lab.filter(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # what one text adds is bounded too: a block of characters around a hashed place
     span = 8 * cfg.train_words
     start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - span, F.lit(1))) + 1
-    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", F.substr("text", start.cast("int"), F.lit(span)).alias("text")).collect()
+    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", F.substr("text", start.cast("int"), F.lit(span)).alias("text"))
+    # a bound for tables that repeat an id very often, too
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * sum(room.values())).collect()
     seen = {0: 0, 1: 0}
     out = []
     for r in sorted(rows, key=lambda r: (r["toxic"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "")):
