@@ -44,8 +44,6 @@ class Config:
     texts_per_label: int = 2500
     #: So many further clean texts are scored to set the thresholds, but not trained on.
     clean_for_cuts: int = 4000
-    #: So many words of a training text at most are learnt from (a block from a hashed place on).
-    train_words: int = 1500
     #: A language has a threshold of its own from so many calibration texts of either label on.
     least: int = 10
     seed: int = 5
@@ -167,7 +165,7 @@ def train_network(texts: list[str | None], labels: list[int], langs: list[str |
         for w in words:
             if w not in cache:
                 cache[w] = features(w, cfg.buckets)
-        return np.array([cache[w] for w in words], np.int64).reshape(-1, 1 + len(_PREFIXES))
+        return np.array([cache[w] for w in words], np.int32).reshape(-1, 1 + len(_PREFIXES))
 
     # Log-odds of each hashed feature by the number of texts that hold it: where one filter starts.
     # A word counts up to four times a text: the label may want more than one hit.
@@ -181,11 +179,7 @@ def train_network(texts: list[str | None], labels: list[int], langs: list[str |
         if out_of:
             enc.append(None)
             continue
-        words = words_in(text)
-        if len(words) > cfg.train_words:
-            s = int(rng.integers(0, len(words) - cfg.train_words + 1))
-            words = words[s : s + cfg.train_words]
-        f = encode(words)
+        f = encode(words_in(text))
         enc.append(f)
         present, times = np.unique(f, return_counts=True)
         held[int(lab)][present] += np.minimum(times, 4)
@@ -290,7 +284,7 @@ def _thresholds(z, y, langs, names, calib, least) -> np.ndarray:
 
 def training_sample(docs: DataFrame, labels: DataFrame, cfg: Config = Config()):
     """At most cfg.texts_per_label labelled texts of either label (and cfg.clean_for_cuts further clean ones)
-    whose id's crc32 mod 5 is not 0, by a hash of the id."""
+    whose id's crc32 mod 5 is not 0, by a hash of the id.  Texts are whole: only the number of rows is bounded."""
     room = {0: cfg.texts_per_label + cfg.clean_for_cuts, 1: cfg.texts_per_label}
     lab = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (crc_part("doc_id", 5) != 0))
     counts = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -299,10 +293,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, cfg: Config = Config()):
         keep = keep | ((F.col("toxic") == k) & hash_below(1.2 * room[k] / n, "doc_id"))
     # the sample is bounded at any size: about 1.2 times the room
     picked = lab.filter(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # what one text adds is bounded too: a block of characters around a hashed place
-    span = 8 * cfg.train_words
-    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.greatest(F.length("text") - span, F.lit(1))) + 1
-    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", F.substr("text", start.cast("int"), F.lit(span)).alias("text"))
+    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", "text")
     # a bound for tables that repeat an id very often, too
     rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * sum(room.values())).collect()
     seen = {0: 0, 1: 0}

@@ -641,6 +641,28 @@ def test_toxicity_on_planted_words():
     assert (net.scores([long, long + " zorko"]) >= 0.5).tolist() == [False, True]
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    long = "mild words " * 20_000 + "zorko"
+    docs = spark.createDataFrame([(i, long, "en") for i in range(20)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    texts, toxic, langs = toxicity.training_sample(docs, labels)
+    assert len(texts) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(20))
+    assert set(texts) == {long} and set(toxic) == {0, 1} and set(langs) == {"en"}
+
+
+def test_toxicity_query_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = toxicity.op10_toxicity(spark, d).collect()
+    assert len(rows) == spark.read.parquet(f"{d}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    seen = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    toxic = [r["predicted"] for r in seen if truth[r["doc_id"]] == 1]
+    clean = [r["predicted"] for r in seen if truth[r["doc_id"]] == 0]
+    print("held out: toxic", len(toxic), "caught", sum(toxic), "clean", len(clean), "flagged", sum(clean))
+    assert np.mean(toxic) >= 0.85 and np.mean(clean) <= 0.01
+
+
 def test_vector_sums(spark):
     from pyspark.sql import functions as F
 
