@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.engine import Engine
@@ -167,6 +167,17 @@ def _users(text: str, shape: Callable[[DataFrame], DataFrame] = lambda df: df):
     return lambda spark, sf_dir: shape(_tagged(spark, sf_dir).execute(text).df)
 
 
+def _placed(engine: Engine, text: str) -> DataFrame:
+    """All documents of the result with their place in its order, from 0.
+
+    Each range of the sorted rows counts its own; only one number a range is added to them."""
+    rows = engine.execute(text).ordered().select("*", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("at")).cache()
+    counts = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = counts.select("range", (before - F.col("first")).alias("base"))
+    return rows.join(bases, "range").withColumn("place", F.col("at") + F.col("base")).drop("range", "at", "base")
+
+
 def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark)
     e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("props", F.from_json("props", "k long"))
@@ -287,20 +298,23 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "project_nested": (_props, "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 9"),
     "project_missing_path": (_get("region.get {} | project r_name, nothing.here"), "SELECT r_name FROM region"),
     "sort_multi": (
-        _get("customer.get {} | sort c_mktsegment, c_acctbal desc, c_custkey | limit 50"),
-        f"SELECT {_CUSTOMER} FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 50",
+        lambda s, d: _placed(opened(s, d, "customer"), "customer.get {} | sort c_mktsegment, c_acctbal desc, c_custkey"),
+        f"SELECT {_CUSTOMER}, row_number() OVER (ORDER BY c_mktsegment, c_acctbal DESC, c_custkey) - 1 AS place FROM customer",
     ),
     "sort_desc_nulls": (
-        _users("users.get {} | sort note desc, user_id | skip 2 | limit 30 | project user_id, note"),
-        f"WITH {_USERS} SELECT user_id, note FROM u ORDER BY note DESC NULLS LAST, user_id LIMIT 30 OFFSET 2",
+        lambda s, d: _placed(_tagged(s, d), "users.get {} | sort note desc, user_id | project user_id, note"),
+        f"WITH {_USERS} SELECT user_id, note, row_number() OVER (ORDER BY note DESC NULLS LAST, user_id) - 1 AS place FROM u",
     ),
     "sort_then_sort_stable": (
-        _get("customer.get {} | sort c_acctbal | sort c_mktsegment | limit 40"),
-        f"SELECT {_CUSTOMER} FROM customer ORDER BY c_mktsegment, c_acctbal, c_custkey LIMIT 40",
+        lambda s, d: _placed(opened(s, d, "customer"), "customer.get {} | sort c_acctbal | sort c_mktsegment"),
+        f"SELECT {_CUSTOMER}, row_number() OVER (ORDER BY c_mktsegment, c_acctbal, c_custkey) - 1 AS place FROM customer",
     ),
     "skip_then_limit": (_get("part.get {} | skip 20 | limit 15"), f"SELECT {_PART} FROM part ORDER BY p_partkey LIMIT 15 OFFSET 20"),
     "limit_then_skip": (_get("part.get {} | limit 15 | skip 10"), f"SELECT * FROM (SELECT {_PART} FROM part ORDER BY p_partkey LIMIT 15) ORDER BY p_partkey OFFSET 10"),
-    "project_before_sort_noop": (_get("part.get {} | project p_partkey, p_name | sort p_size desc | limit 12"), "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 12"),
+    "project_before_sort_noop": (
+        lambda s, d: _placed(opened(s, d, "part"), "part.get {} | project p_partkey, p_name | sort p_size desc"),
+        "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part",
+    ),
     "update_set_result": (
         _after(f'orders.update {{ o_orderstatus == "F" and o_totalprice > 1000.0 }} | set o_totalprice = o_totalprice * 1.5, flag = o_custkey % 10', f"orders.get {{ flag == 3 }} | project {_ORDERS}, flag"),
         f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice * 1.5::DOUBLE AS o_totalprice, o_orderpriority, o_custkey % 10 AS flag FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000 AND o_custkey % 10 = 3",
