@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Adam, crc_part, hash_below, released, small_batches
+from .common import Adam, crc_part, discard, hash_below, narrowed, released, small_batches, staged
 
 #: Everything that is not an ASCII letter or a byte of a longer character separates words.
 _SPLIT = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -291,11 +291,15 @@ def training_sample(docs: DataFrame, labels: DataFrame, cfg: Config = Config()):
     keep = F.lit(False)
     for k, n in counts.items():
         keep = keep | ((F.col("toxic") == k) & hash_below(1.2 * room[k] / n, "doc_id"))
-    # the sample is bounded at any size: about 1.2 times the room
-    picked = lab.filter(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text", "lang").join(picked, "doc_id").select("doc_id", "toxic", "lang", "text")
+    # the sample is bounded at any size: about 1.2 times the room; should the hashes fall otherwise, nothing is broadcast
+    most = 2 * sum(room.values())
+    picked = staged(lab.filter(keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labelled")
+    told = docs.select("doc_id", "text", "lang")
+    met = told.join(F.broadcast(picked), "doc_id") if picked.count() <= most else narrowed(told, "doc_id", picked).join(picked, "doc_id")
+    rows = met.select("doc_id", "toxic", "lang", "text")
     # a bound for tables that repeat an id very often, too
-    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(2 * sum(room.values())).collect()
+    rows = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most).collect()
+    discard(picked)
     seen = {0: 0, 1: 0}
     out = []
     for r in sorted(rows, key=lambda r: (r["toxic"], zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["text"] or "")):

@@ -650,6 +650,17 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert set(texts) == {long} and set(toxic) == {0, 1} and set(langs) == {"en"}
 
 
+def test_toxicity_sample_beyond_its_bound_is_joined(spark, monkeypatch):
+    """More labels than may be broadcast meet their texts by a join, and no more texts are learnt from."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "hash_below", lambda share, *cols: toxicity.F.lit(True))
+    cfg = toxicity.Config(texts_per_label=3, clean_for_cuts=0)
+    texts, toxic, _ = toxicity.training_sample(docs, labels, cfg)
+    assert len(set(texts)) == len(texts) and 0 < toxic.count(0) <= 3 and 0 < toxic.count(1) <= 3
+    assert all(int(t.split()[1]) % 2 == y for t, y in zip(texts, toxic, strict=True))
+
+
 def test_toxicity_query_on_held_out_documents(spark):
     d = "/root/testdata/sf0.1"
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
