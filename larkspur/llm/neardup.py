@@ -13,6 +13,8 @@ first held against the bucket's first member; verified links give components.  M
 still in different components get a second, finer sketch with longer bands, which unlike texts hardly ever
 share but linked ones do.  They are compared within those bands, in arrays: first each member gives its
 likeliest partners, then, with what those have linked, all pairs that are left and not surely unlinked.
+Buckets too large for that are divided by further bands first; members that then still share such a bucket with
+another component are joined exactly, by the rare ends of their sets.
 
 Defined results: a text without words (or null) has the empty set, is linked with nothing and is its own
 component; a row without an id has no component id and is kept; rows that share an id are separate rows
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, arrays_of, byte_words, cached, discard, mix64, narrowed, released, settle, staged, without
@@ -59,7 +61,7 @@ CARRIED = 528
 NOT_LINKED, SURELY = 0.675, 0.825
 #: Members of a bucket that are compared in one place; larger buckets are compared chunk by chunk.
 CHUNK = 1024
-#: Buckets with more members are divided by further bands.
+#: Buckets with more members are divided by further bands, what is left of them is joined by shingles.
 LARGE = 64 * CHUNK
 
 
@@ -291,13 +293,13 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def _buckets(finer: DataFrame, large: int) -> DataFrame:
-    """sig, comp, key, path (the bands of the key), size of every member of a fine bucket that mixes components.
+def _buckets(finer: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
+    """sig, comp, key, path (the bands of the key), size of every member of a fine bucket that mixes components;
+    and sig, key of the members of buckets of more than large, if there are any.
 
-    A bucket of more members than large is divided by every later band that its members share, and so on: a
-    member is then in as many buckets as there are bands, however many members there are.  Two texts that share
-    the band and no other are lost there (of pairs at the very threshold one in a thousand)."""
-    kept = None
+    Those are divided by every later band that their members share, and so on.  Two texts that share the band and
+    no other do not meet there: _rest_pairs is for them."""
+    kept = crowds = None
     rows = finer.select("sig", "comp", F.posexplode("keys").alias("band", "key")).select("sig", "comp", "key", F.array("band").alias("path"))
     while True:
         # a bucket can only tell what it has in common with another component
@@ -307,20 +309,22 @@ def _buckets(finer: DataFrame, large: int) -> DataFrame:
         small = some.filter(F.col("size") <= large)
         kept = small if kept is None else kept.unionByName(small)
         if not sizes.filter(F.col("size") > large).limit(1).count():
-            return kept
+            return kept, crowds
+        if crowds is None:
+            crowds = staged(some.filter(F.col("size") > large).select("sig", "key"), "crowds")
         last = F.element_at("path", -1)
         more = some.filter(F.col("size") > large).select("sig", "comp", "key", "path").withColumnRenamed("key", "k0").join(finer.select("sig", "keys"), "sig")
         later = more.select("sig", "comp", "k0", "path", last.alias("last"), F.posexplode("keys").alias("band", "k")).filter("band > last")
         rows = staged(later.select("sig", "comp", F.xxhash64("k0", "k").alias("key"), F.concat("path", F.array("band")).alias("path")), "sub-buckets")
 
 
-def _crowd_pairs(finer: DataFrame, cfg: Config, best: bool, trust: bool = True, chunk: int = CHUNK, large: int = LARGE) -> DataFrame:
-    """Pairs (a, b, sure) of finer(sig, n, comp, keys, regs) worth verifying: members of a finer band that are in
-    different components and likely linked; if best, just each member's likeliest partner in the bucket.
+def _crowd_pairs(buckets: DataFrame, finer: DataFrame, cfg: Config, best: bool, trust: bool = True, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b, sure) of finer(sig, n, comp, keys, regs) worth verifying: members of a finer band (of _buckets)
+    that are in different components and likely linked; if best, just each member's likeliest partner in the bucket.
 
     Each bucket is compared where it is, in arrays; only pairs come out, and of surely linked ones (if these are
     trusted) only what joins components, so a bucket gives about as many pairs as it has members."""
-    rows = _buckets(finer, large).join(finer.select("sig", "n", "regs"), "sig")
+    rows = buckets.join(finer.select("sig", "n", "regs"), "sig")
     # a large bucket's members meet chunk by chunk: (i, j) with i <= j
     chunks = F.ceil(F.col("size") / chunk).cast("int")
     own = F.pmod(F.xxhash64("sig"), chunks).cast("int")
@@ -405,6 +409,42 @@ def _crowd_pairs(finer: DataFrame, cfg: Config, best: bool, trust: bool = True,
     return dealt.mapInPandas(released(run), "a binary, b binary, sure boolean")
 
 
+def _rest_pairs(crowds: DataFrame, members: DataFrame, sets: DataFrame, cfg: Config, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of members(sig, n, comp) that may be linked, are in different components and in buckets that
+    still mix components, of crowds(sig, key).  No linked pair is left out.
+
+    All sets are put in one order, rare shingles first.  What two sets share is at or after their first common
+    shingle, so both have as many shingles from there on as a link needs: they meet in the bin of that shingle, which
+    is one of the rare ones of either.  Common shingles, of which large buckets are made, open no bin."""
+    percent = cfg.percent
+
+    @F.pandas_udf("array<long>")
+    def shingles(items: pd.Series) -> pd.Series:
+        return items.map(lambda x: np.frombuffer(x, np.int64))
+
+    inside = crowds.join(members, "sig")
+    mixed = inside.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    some = staged(inside.join(mixed, "key", "left_semi").select("sig", "n", "comp").distinct(), "rest")
+    words = staged(some.join(sets, "sig").select("sig", "n", "comp", F.explode(shingles("items")).alias("shingle")), "shingles")
+    often = words.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # a shingle of one set alone comes before all others and is never shared: only the others are counted, from the end
+    order = Window.partitionBy("sig").orderBy(F.desc("often"), F.desc("shingle"))
+    placed = words.join(often, "shingle").withColumn("left", F.row_number().over(order).cast("long"))
+    # the first common shingle leaves that much in a set whose partner is no smaller, or smaller (of the larger set)
+    placed = staged(placed.filter(F.col("left") * 100 >= F.col("n") * percent).withColumn("leads", F.col("left") * (100 + percent) >= F.col("n") * (2 * percent)), "prefixes")
+    bins = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("size"), F.max("leads").alias("leads"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    bins = bins.filter("leads and lo <> hi").select("shingle", F.ceil(F.col("size") / chunk).cast("int").alias("cells"))
+    met = staged(placed.join(bins, "shingle"), "bins")
+    # a large bin's leading sets are spread over cells, its others come to each
+    x = met.filter("leads").select("shingle", F.pmod(F.xxhash64("sig"), "cells").cast("int").alias("cell"), *(F.col(c).alias(f"x_{c}") for c in ("sig", "n", "comp", "left")))
+    y = met.select("shingle", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), *(F.col(c).alias(f"y_{c}") for c in ("sig", "n", "comp", "left")))
+    both = x.join(y, ["shingle", "cell"]).filter("x_comp <> y_comp and (x_n < y_n or x_n = y_n and x_sig < y_sig)")
+    both = both.filter(F.least("x_left", "y_left") * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent)
+    pairs = staged(both.select(F.least("x_sig", "y_sig").alias("a"), F.greatest("x_sig", "y_sig").alias("b")).distinct(), "rest-pairs")
+    discard(some, words, placed, met)
+    return pairs
+
+
 def _joined_comps(members: DataFrame, comp: DataFrame) -> DataFrame:
     """members(sig, ..) with their component, comp; a member without links is its own."""
     return members.join(comp.toDF("sig", "comp"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
@@ -444,6 +484,7 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config(), chunk: int = CHUNK,
     fine = sketches(_texts_of(docs, slim, apart.select("sig")).withColumnRenamed("sig", "doc_id"), FINE, with_sets=True).filter("doc_id = sig")
     fine = staged(fine.select("sig", "keys", F.substring("regs", 1, 2 * CARRIED).alias("regs"), "items").dropDuplicates(["sig"]), "fine")
     tried = candidates.withColumn("sure", F.lit(False))
+    crowds = None
     for best, trust in ((True, True), (False, True), (False, False)):
         finer = fine.select("sig", "keys", "regs").join(apart, "sig")
         if not trust:
@@ -454,7 +495,9 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config(), chunk: int = CHUNK,
             keys = fine.join(refused, "sig", "left_semi").select(F.explode("keys").alias("key")).distinct()
             near = finer.select("sig", F.explode("keys").alias("key")).join(keys, "key", "left_semi").select("sig").distinct()
             finer = finer.join(near, "sig", "left_semi")
-        found = _crowd_pairs(finer, cfg, best, trust, chunk, large).groupBy("a", "b").agg(F.max("sure").alias("sure"))
+        buckets, divided = _buckets(finer, large)
+        crowds = divided if crowds is None else crowds
+        found = _crowd_pairs(buckets, finer, cfg, best, trust, chunk).groupBy("a", "b").agg(F.max("sure").alias("sure"))
         pairs = staged(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = _verified(pairs.select("a", "b"), fine, cfg)
         settle(spark)
@@ -464,6 +507,15 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config(), chunk: int = CHUNK,
             old, comp = comp, staged(components(links), "components")
             discard(old)
             apart = staged(_joined_comps(apart.drop("comp"), comp), "apart")
+    if crowds is not None:
+        pairs = _rest_pairs(crowds, apart, fine.select("sig", "items"), cfg, chunk)
+        more = _verified(pairs.join(tried, ["a", "b"], "left_anti"), fine, cfg)
+        discard(pairs, crowds)
+        settle(spark)
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            old, comp = comp, staged(components(links), "components")
+            discard(old)
     discard(fine)
     # a component's name is the smallest id of any of its rows
     named = staged(_joined_comps(slim, comp), "named")

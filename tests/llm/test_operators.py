@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -317,6 +318,42 @@ def test_chains_and_crowds_match_brute_force(spark):
         assert got == want, kind
 
 
+def test_pairs_that_meet_in_large_buckets_only_are_linked(spark):
+    """Every bucket counts as large: linked pairs around a passage that all texts share come from the exact join."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(300)]
+    rows = []
+    for n in range(0, 24, 2):
+        both = [word() for _ in range(20)]
+        rows += [(n + k, " ".join(passage + both + [word() for _ in range(52)])) for k in range(2)]
+    want = plain_components(rows)
+    assert len({c for _, c in want.values()}) == 12
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), large=1).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
+def test_exact_join_of_large_buckets_leaves_no_link_out(spark):
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(40):
+        # few different shingles, so that bins are large; parts of one set, at and around the threshold
+        base = rng.permutation(400)[: rng.integers(4, 90)].astype(np.uint64)
+        sets += [np.sort(base)] + [np.sort(rng.permutation(base)[: max(int(len(base) * q), 1)]) for q in (0.74, 0.75, 0.8, 0.9)]
+    sets = list({s.tobytes(): s for s in sets}.values())
+    sigs = [b"%04d" % k for k in range(len(sets))]
+    want = set()
+    for x, y in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        if 100 * both >= 75 * (len(sets[x]) + len(sets[y]) - both):
+            want.add((sigs[x], sigs[y]))
+    crowds = spark.createDataFrame([(s, 1) for s in sigs], "sig binary, key long")
+    members = spark.createDataFrame([(s, len(x), s) for s, x in zip(sigs, sets, strict=True)], "sig binary, n long, comp binary")
+    items = spark.createDataFrame([(s, x.tobytes()) for s, x in zip(sigs, sets, strict=True)], "sig binary, items binary")
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in neardup._rest_pairs(crowds, members, items, neardup.Config(), chunk=3).collect()}
+    assert len(want) > 100 and want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
