@@ -3,13 +3,12 @@
 Passages make a TF-IDF matrix over the words of the benchmark (other words cannot add to a similarity with
 an item); document frequencies count all passages of all documents.  A distributed randomised SVD gives the
 latent space: every task multiplies its passages with a random matrix and back, the products are summed, and
-the sum's directions are ordered by what the random matrix tells of the spectrum.  The space is an index: it
-is fitted on a bounded sample of documents (Config.fit_docs, by a hash of the id) and on the items.  Its
-leading directions (function words, languages) are left out: they are alike in everything.  Windows of every
-document and the items are folded into the space.  A candidate holds enough of the item's words (a bound that
-loses nothing) and has at least a low cosine with it; it is checked by the longest common subsequence of words
-between the item and the text around the window; what is less than a copy must also hold the item's answer
-(its last sentence).
+the sum's directions are ordered by what the random matrix tells of the spectrum.  The space is fitted on all
+passages of all documents and on the items.  Its leading directions (function words, languages) are left out:
+they are alike in everything.  Windows of every document and the items are folded into the space.  A candidate
+holds enough of the item's words (a bound that loses nothing) and has at least a low cosine with it; it is
+checked by the longest common subsequence of words between the item and the text around the window; what is
+less than a copy must also hold the item's answer (its last sentence).
 
 Items are taken in blocks of a fixed size, so memory does not depend on how many there are.
 
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_below, released, small_batches, summed_vectors, table
+from .common import released, small_batches, summed_vectors, table
 
 #: Words are runs of ASCII letters (in lower case), digits and bytes of longer characters.
 _SPLIT = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -48,8 +47,6 @@ class Config:
     #: Leading directions that are left out, and further ones that only make the others exact.
     skip: int = 16
     oversample: int = 16
-    #: The bound of the sample that the space is fitted on: so many documents, about.
-    fit_docs: int = 20_000
     #: Least cosine of a candidate.
     cosine: float = 0.1
     #: Least share of the item's words in common order: a copy; a paraphrase that holds the answer.
@@ -144,14 +141,24 @@ def _gram(word: np.ndarray, passage: np.ndarray, w: np.ndarray, n: int, om: np.n
     """Adds A' (A om) to into, for the passages' matrix A given by its entries (as of _passage_rows)."""
     if not len(word):
         return
-    # rows come by passage: sum each passage's words, then each word's passages
-    first = np.flatnonzero(np.diff(passage, prepend=-1))
+    size = 1024  # a block of entries stays in the cache
+    held = np.empty((size, om.shape[1]), np.float32)
+
+    def add(rows: np.ndarray, of: np.ndarray, by: np.ndarray, w: np.ndarray, into: np.ndarray) -> None:
+        """Adds w times the rows of an array to those of into that by names, in order of by."""
+        for k in range(0, len(w), size):
+            at = by[k : k + size]
+            part = held[: len(at)]
+            np.take(rows, of[k : k + size], axis=0, out=part, mode="clip")
+            part *= w[k : k + size, None]
+            first = np.flatnonzero(np.diff(at, prepend=-1))
+            into[at[first]] += np.add.reduceat(part, first, axis=0)
+
+    # entries come by passage: sum each passage's words, then each word's passages
     p = np.zeros((n, om.shape[1]), np.float32)
-    p[passage[first]] = np.add.reduceat(om[word] * w[:, None], first, axis=0)
-    by = np.argsort(word, kind="stable")
-    ws = word[by]
-    first = np.flatnonzero(np.diff(ws, prepend=-1))
-    into[ws[first]] += np.add.reduceat(p[passage[by]] * w[by, None], first, axis=0)
+    add(om, word, passage, w, p)
+    order = np.argsort(word, kind="stable")
+    add(p, passage[order], word[order], w[order], into)
 
 
 def _product(docs: DataFrame, vocab: dict, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
@@ -181,7 +188,7 @@ def latent_space(docs: DataFrame, vocab: dict, items: list[np.ndarray], cfg: Con
     weight = np.log((n + len(items) + 1) / (df + own + 0.5)) ** 2
     k = min(cfg.skip + cfg.rank + cfg.oversample, d)
     omega = np.random.default_rng(cfg.seed).normal(0, 1, (d, k))
-    y = _product(docs.filter(hash_below(cfg.fit_docs / max(docs.count(), 1), "doc_id", "text")), vocab, weight, omega)
+    y = _product(docs, vocab, weight, omega)
     _gram(*_passage_rows(items, weight), omega.astype(np.float32), y)
     # the sketch's product with its random matrix tells how much of the spectrum each direction holds
     c = omega.T @ y

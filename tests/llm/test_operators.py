@@ -448,6 +448,28 @@ def test_latent_space_recalls_neighbours(spark, data):
     assert {r["doc_id"] for r in got if r["doc_id"] == r["item_id"]} == {i for i, _ in bench}
 
 
+def test_latent_space_is_fitted_on_all_documents(spark):
+    """22,000 short documents: the directions left out are the leading ones of the whole passage matrix."""
+    rng = np.random.default_rng(6)
+    names = [b"w%d" % k for k in range(100)]
+    texts = rng.choice(100, (22_000, 12), p=np.arange(1, 101) / 5050)
+    rows = [(n, " ".join(names[k].decode() for k in t)) for n, t in enumerate(texts)]
+    items = [np.arange(0, 10), np.arange(50, 60)]
+    cfg = decontaminate.Config(oversample=100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    weight, space = decontaminate.latent_space(docs, {w: k for k, w in enumerate(names)}, items, cfg)
+    a = np.zeros((len(texts) + len(items), 100))
+    for n, t in enumerate([*texts, *items]):
+        np.add.at(a[n], t, 1.0)
+    df = (a > 0).sum(axis=0)
+    assert np.allclose(weight, np.log((len(a) + 1) / (df + 0.5)) ** 2)
+    a *= weight
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    vecs = np.linalg.eigh(a.T @ a)[1][:, ::-1]
+    same = np.abs(np.einsum("ij,ij->j", vecs[:, cfg.skip : cfg.skip + cfg.rank], space))
+    assert space.shape == (100, cfg.rank) and np.median(same) > 0.999
+
+
 # -- 6
 
 
