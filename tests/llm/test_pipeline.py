@@ -83,3 +83,12 @@ def test_missing_languages_are_filled_in(spark, data):
     want = {r["doc_id"]: r["lang"] for r in docs.collect()}
     got = corpus_pipeline.language_stage(spark, some, data).collect()
     assert all(r["lang"] for r in got) and sum(r["lang"] == want[r["doc_id"]] for r in got) > 0.97 * len(got)
+
+
+def test_benchmark_stage_fits_its_space_on_all_documents(spark, data, tmp_path, monkeypatch):
+    spark.read.parquet(f"{data}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.range(22_000).selectExpr("id AS doc_id", "concat('the word ', id % 97, ' of it') AS text")
+    fitted, product = [], decontaminate._product
+    monkeypatch.setattr(decontaminate, "_product", lambda docs, *rest: fitted.append(docs.count()) or product(docs, *rest))
+    assert corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).count() == 22_000
+    assert fitted == [22_000]
